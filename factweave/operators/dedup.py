@@ -19,7 +19,7 @@ from factweave.config import FUZZY_TITLE_SIMILARITY, FUZZY_WINDOW_SECONDS, TITLE
 from factweave.functions.text import headline_similarity, normalise_text, organisation_name, tokens_of
 from factweave.functions.url import normalise_url, publisher_host
 from factweave.operators.skew import HOT_ROWS, salted_join
-from factweave.session import materialise
+from factweave.session import materialise, spread
 
 REASONS = ("canonical_url", "normalized_url", "content_hash", "title_hash_same_publisher", "fuzzy_syndication")
 KEPT, OPEN, DUPLICATE = "kept", "open", "duplicate"
@@ -41,7 +41,7 @@ def with_dedup_keys(articles: DataFrame) -> DataFrame:
     """Add the comparison keys of an article; keys that are already present are kept."""
     c = F.col
     # Normalise each text once; every key below reads the staged columns.
-    staged = articles.select(
+    staged = spread(articles).select(
         "*",
         normalise_text(c("title")).alias("_title"),
         normalise_text(F.coalesce(c("excerpt"), F.lit(""))).alias("_excerpt"),

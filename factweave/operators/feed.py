@@ -56,7 +56,8 @@ def matches_text(query: str) -> Column:
     """Every word of the query is a folded substring of the searchable columns taken together."""
     text = fold_case(F.concat_ws(" ", *SEARCH_COLUMNS))
     words = [w for w in fold_literal(query).split() if w]
-    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in words], F.lit(True))
+    # The one-element array binds the folded text, so that it is computed once for all words.
+    return F.exists(F.array(text), lambda t: reduce(lambda a, b: a & b, [F.contains(t, F.lit(w)) for w in words], F.lit(True)))
 
 
 def full_text_candidates(query: str) -> Column:

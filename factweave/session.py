@@ -37,7 +37,7 @@ def local_session(cores: str = "8", app: str = "factweave") -> SparkSession:
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return tune(spark)
 
 
@@ -60,10 +60,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     optimiser real file sizes, which in-memory caching of a long plan does not.
     """
     path = f"{checkpoint_root(df.sparkSession)}/factweave/{name}-{uuid.uuid4().hex}"
-    import time, os
-    t=time.time()
     df.write.parquet(path)
-    if os.environ.get("FW_T"): print("   mat", name, round(time.time()-t,2))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,3 +68,18 @@ def table_bytes(df: DataFrame) -> int:
     """Size the optimiser knows for `df`: file bytes for a plain scan, an upper estimate otherwise."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables `df` reads, as the optimiser knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+SPREAD_BYTES_PER_CORE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One task per core for costly row work on an input too small to have that many splits; otherwise `df` itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if input_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df

@@ -10,8 +10,7 @@ from factweave.functions.url import is_safe_url
 # --- Fixed values: named entities and feed date formats -------------------------------------------
 ENTITIES = (("nbsp", " "), ("ndash", "-"), ("mdash", "-"), ("hellip", "..."), ("rsquo", "'"), ("lsquo", "'"),
             ("ldquo", '"'), ("rdquo", '"'), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&"))
-DATE_FORMATS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z",
-                "EEE, d MMM yyyy HH:mm Z", "EEE, d MMM yyyy HH:mm z")
+DATE_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")
 ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd")
 EXCERPT_LIMIT = 600
 
@@ -66,9 +65,10 @@ def _atom_link(block: Column) -> Column:
 
 def feed_date(text: Column) -> Column:
     """UTC timestamp of a feed date in any of the usual formats; anything else is NULL, never now."""
-    utc = F.regexp_replace(F.trim(text), r"(?i)\b(GMT|UT|UTC|Z)$", "+0000")
-    tries = [F.try_to_timestamp(utc, F.lit(f)) for f in DATE_FORMATS if f.endswith("Z")]
-    tries += [F.try_to_timestamp(F.regexp_replace(text, "(?i)z$", "Z"), F.lit(f)) for f in ISO_FORMATS]
+    dated = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s*", "")
+    utc = F.regexp_replace(dated, r"(?i)\b(GMT|UT|UTC|Z)$", "+0000")
+    tries = [F.try_to_timestamp(utc, F.lit(f)) for f in DATE_FORMATS]
+    tries += [F.try_to_timestamp(F.regexp_replace(F.trim(text), "z$", "Z"), F.lit(f)) for f in ISO_FORMATS]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factweave import taxonomy as X
 from factweave.schemas import clock_time, in_range, iso_date, one_of, reported_text
@@ -48,7 +49,7 @@ def _cut(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def balanced_object(texts: pd.Series) -> pd.Series:
     return texts.map(_cut)
 
