@@ -89,7 +89,7 @@ def _sides(spark, sf):
 def link_candidates(spark, sf):
     """Pairs worth scoring: how many per candidate."""
     cands, stored = _sides(spark, sf)
-    pairs = linkage.candidate_pairs(linkage.matching_facts(cands, "id", "position"), linkage.matching_facts(stored, "id", "position"), F.lit(TODAY).cast("date"))
+    pairs = linkage.candidate_pairs(linkage.stored_facts(cands, "id", "position"), linkage.stored_facts(stored, "id", "position"), F.lit(TODAY).cast("date"))
     return pairs.groupBy(F.col("a.key").alias("id")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("b.key").alias("checksum"))
 
 
@@ -220,7 +220,7 @@ RELEVANCE_SCORE_SQL = inc_sql() + f""", c AS (SELECT id, CASE WHEN id % 15 = 0 T
 
 # ------------------------------------------------------------------------------------------------ versions
 
-_ORDER = ["at", "event_id"]
+_ORDER = ["seen_at", "event_id"]
 _LATEST = [c for c in changes.SNAPSHOT_COLUMNS if c != "incident_date"]
 
 
@@ -234,8 +234,8 @@ def merged_versions(spark, sf):
                                     "incident_type", F.col("incident_date").cast("string").alias("incident_date"))
 
 
-_W = "(PARTITION BY incident_id ORDER BY at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-_MERGED_CTE = f""", m AS (SELECT incident_id, event_id, at, {', '.join(f'last_value({c} IGNORE NULLS) OVER {_W} AS {c}' for c in _LATEST)}, first_value(incident_date IGNORE NULLS) OVER {_W} AS incident_date,
+_W = "(PARTITION BY incident_id ORDER BY seen_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_MERGED_CTE = f""", m AS (SELECT incident_id, event_id, seen_at, {', '.join(f'last_value({c} IGNORE NULLS) OVER {_W} AS {c}' for c in _LATEST)}, first_value(incident_date IGNORE NULLS) OVER {_W} AS incident_date,
   first_value(incident_type IGNORE NULLS) OVER {_W} AS incident_type, max(relevance_score) OVER {_W} AS relevance_score FROM v_version)"""
 MERGED_SQL = with_sql("v_version") + _MERGED_CTE + """ SELECT event_id, fatalities, injuries, operator, asset, shutdown, severity_score, well_integrity_category, relevance_score, incident_type, CAST(incident_date AS VARCHAR) AS incident_date FROM m"""
 
@@ -270,7 +270,7 @@ def _changes_cte():
         ("incident_date_established", "b_incident_date IS NULL AND incident_date IS NOT NULL", "concat('Incident date established: ', incident_date, '.')"),
         ("operator_statement", "coalesce(b_operator, '') = '' AND operator IS NOT NULL", "concat('Operator identified: ', operator, '.')"),
     ]
-    return _MERGED_CTE + f""", g AS (SELECT *, {lag}, lag(event_id) OVER w AS b_event FROM m WINDOW w AS (PARTITION BY incident_id ORDER BY at, event_id)),
+    return _MERGED_CTE + f""", g AS (SELECT *, {lag}, lag(event_id) OVER w AS b_event FROM m WINDOW w AS (PARTITION BY incident_id ORDER BY seen_at, event_id)),
       ch AS (SELECT *, concat_ws('|', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in rules)}) AS changes, concat_ws('|', {', '.join(f'CASE WHEN {c} THEN {d} END' for _, c, d in rules)}) AS descriptions,
         {S.fingerprint(*changes.FINGERPRINT_COLUMNS)} AS fingerprint FROM g WHERE b_event IS NOT NULL)"""
 
@@ -281,11 +281,11 @@ CHANGES_SQL = with_sql("v_version") + _changes_cte() + """ SELECT incident_id, e
 
 def recorded_changes(spark, sf):
     """Each fingerprint once per fact, at its first appearance."""
-    updates = material(spark, sf).select("incident_id", "fingerprint", "at", "event_id")
+    updates = material(spark, sf).select("incident_id", "fingerprint", "seen_at", "event_id")
     return changes.record_once(updates, "incident_id", _ORDER).select("incident_id", "fingerprint", "event_id")
 
 
-RECORDED_SQL = with_sql("v_version") + _changes_cte() + " SELECT incident_id, fingerprint, arg_min(event_id, (at, event_id)) AS event_id FROM ch GROUP BY incident_id, fingerprint"
+RECORDED_SQL = with_sql("v_version") + _changes_cte() + " SELECT incident_id, fingerprint, arg_min(event_id, (seen_at, event_id)) AS event_id FROM ch GROUP BY incident_id, fingerprint"
 
 
 # ------------------------------------------------------------------------------------------------ alerts
@@ -444,7 +444,7 @@ def _requests(spark, sf):
 def _answers(spark, sf):
     calls = view(spark, sf, "v_version")
     sector = F.element_at(F.array(*[F.lit(s) for s in ("upstream", "midstream", "downstream", "integrated", "unknown")]), (F.col("event_id") % 5 + 1).cast("int"))
-    return calls.select(F.col("incident_type").alias("kind"), F.lit("v1").alias("version"), sector.alias("model"), (F.col("event_id") % 300).cast("string").alias("content_hash"), F.concat(F.lit("answer "), "event_id").alias("answer"), F.col("at").alias("stored_at"))
+    return calls.select(F.col("incident_type").alias("kind"), F.lit("v1").alias("version"), sector.alias("model"), (F.col("event_id") % 300).cast("string").alias("content_hash"), F.concat(F.lit("answer "), "event_id").alias("answer"), F.col("seen_at").alias("stored_at"))
 
 
 _ANSWER_NOW = "2024-01-30 00:00:00"
@@ -458,8 +458,8 @@ def answer_reuse(spark, sf):
     return answered.unionByName(todo)
 
 
-ANSWER_SQL = with_sql("v_incident", "v_version") + f""", a AS (SELECT incident_type AS kind, {pick(('upstream', 'midstream', 'downstream', 'integrated', 'unknown'), 'event_id')} AS model, CAST(event_id % 300 AS VARCHAR) AS h, arg_max(concat('answer ', event_id), at) AS answer
-    FROM v_version WHERE date_diff('second', at, TIMESTAMP '{_ANSWER_NOW}') < 432000 GROUP BY ALL)
+ANSWER_SQL = with_sql("v_incident", "v_version") + f""", a AS (SELECT incident_type AS kind, {pick(('upstream', 'midstream', 'downstream', 'integrated', 'unknown'), 'event_id')} AS model, CAST(event_id % 300 AS VARCHAR) AS h, arg_max(concat('answer ', event_id), seen_at) AS answer
+    FROM v_version WHERE date_diff('second', seen_at, TIMESTAMP '{_ANSWER_NOW}') < 432000 GROUP BY ALL)
   SELECT v.id, coalesce(a.answer, 'to do') AS answer FROM v_incident v LEFT JOIN a ON a.kind = v.incident_type AND a.model = v.oil_gas_sector AND a.h = CAST(v.id % 300 AS VARCHAR)"""
 
 _PLAN = ("\"{0}\" incident", "{0} fire", "{0} explosion {1}", "\"gas leak\" {1}")

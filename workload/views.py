@@ -164,7 +164,7 @@ _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
 VERSION = ("events", {
     "incident_id": "user_id",
     "event_id": "event_id",
-    "at": "ts",
+    "seen_at": "ts",
     "day": "CAST(ts AS DATE)",
     "fatalities": f"CASE WHEN {_K} % 5 = 0 THEN {_K} % 4 END",
     "injuries": f"CASE WHEN {_K} % 3 = 0 THEN {_K} % 6 END",
