@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import fold_case, fold_literal, tokenise_literal
 from factweave.operators.skew import keep_first
+from factweave.session import spread
 
 PLAN_LIMIT = 500
 
@@ -72,7 +73,7 @@ def percolate(articles: DataFrame, queries: DataFrame, exclude=(), max_results:
     needles = F.array(*[F.lit(x) for x in sorted({x for _, p, t in compiled for x in (*p, *t)})]).cast("array<string>")
 
     text = fold_case(F.concat_ws(" ", "title", F.coalesce("excerpt", F.lit("")), "publisher"))
-    stream = articles.select(F.col("id").alias("article_id"), text.alias("_text"))
+    stream = spread(articles).select(F.col("id").alias("article_id"), text.alias("_text"))
     for keyword in exclude:
         if keyword:
             stream = stream.filter(~F.contains("_text", F.lit(fold_literal(keyword))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.url import is_safe_url
+from factweave.session import spread
 
 # --- Fixed values: named entities and feed date formats -------------------------------------------
 ENTITIES = (("nbsp", " "), ("ndash", "-"), ("mdash", "-"), ("hellip", "..."), ("rsquo", "'"), ("lsquo", "'"),
@@ -74,7 +75,7 @@ def feed_date(text: Column) -> Column:
 
 def explode_feeds(documents: DataFrame, key: str, xml: str) -> DataFrame:
     """One row per item with title and link: `key`, position, title, link, description, published_at, author, source, guid."""
-    blocks = documents.select(key, F.posexplode(F.regexp_extract_all(xml, F.lit(_ITEM), F.lit(1))).alias("position", "_block"))
+    blocks = spread(documents).select(key, F.posexplode(F.regexp_extract_all(xml, F.lit(_ITEM), F.lit(1))).alias("position", "_block"))
     b = F.col("_block")
     items = blocks.select(
         key, "position",
