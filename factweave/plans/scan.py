@@ -29,7 +29,7 @@ _PATCHED = ["fatalities", "injuries", "missing_persons", "evacuated_persons", "h
             "well_control_event", "operator", "asset", "installation", "field", "well_name", "is_well_integrity_related",
             "well_integrity_category", "suspected_failed_component", "barrier_function_impacted", "is_process_safety_event",
             "process_safety_category"]
-_FIXED = ["incident_date", "incident_type", "title", "summary", "country", "country_code", "basin", "block", "installation_type",
+_FIXED = ["incident_date", "incident_type", "title", "summary", "company", "country", "country_code", "basin", "block", "installation_type",
           "well_number", "oil_gas_sector", "environment", "lifecycle_stage", "incident_date_is_estimated"]
 
 

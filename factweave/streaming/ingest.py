@@ -15,10 +15,16 @@ from factweave.functions.url import normalise_url
 from factweave.operators.store import read_snapshot, write_snapshot
 from factweave.plans.scan import scan
 
+# Room for the articles of one micro-batch in `seq`.
+BATCH_SPAN = 10**12
 
-def read_increments(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", pattern: str | None = None) -> DataFrame:
+
+def read_increments(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", pattern: str | None = None,
+                    files_per_batch: int | None = None) -> DataFrame:
     """A directory of files as a stream; every file is read once, whenever the query is triggered."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path)
@@ -49,11 +55,13 @@ def scan_batches(articles: DataFrame, store: str, checkpoint: str, config: ScanC
     """The whole scan per micro-batch against snapshots in `store`.
 
     Batch n reads the newest snapshot below n + 1 and writes exactly snapshot n + 1 of each table, so a batch that is
-    repeated after a failure gives the same state instead of counting its articles twice.
+    repeated after a failure gives the same state instead of counting its articles twice. Files arrive in any order,
+    so `seq` counts inside a batch and batches follow one another: it is shifted by `BATCH_SPAN` per batch.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark, number = batch.sparkSession, batch_id + 1
+        batch = batch.withColumn("seq", F.col("seq") + F.lit(batch_id * BATCH_SPAN))
         known = read_snapshot(spark, store, "articles", before=number)
         facts = read_snapshot(spark, store, "incidents", before=number)
         result = scan(batch, config, now, stored_articles=known, stored_incidents=facts, **options)

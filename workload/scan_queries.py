@@ -68,10 +68,10 @@ def stream_scan(spark, sf):
     """The scan as micro-batches over bulletin files: stage of every article."""
     source = _folder(spark, "bulletins")
     _bulletins(spark, sf).repartitionByRange(2, "seq").write.parquet(source)
-    stream = ingest.read_increments(spark, source, _bulletins(spark, sf).schema)
+    stream = ingest.read_increments(spark, source, _bulletins(spark, sf).schema, files_per_batch=1)
     store = _folder(spark, "store")
     ingest.scan_batches(stream, store, _folder(spark, "scan-cp"), CONFIG, NOW_DT)
-    return spark.read.parquet(f"{store}/stages").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{store}/stages").groupBy("snapshot", "stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
