@@ -216,7 +216,8 @@ def verify(candidates: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / block_texts).cast("int")
     members = candidates.join(sizes, "root").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    with_text = texts.join(members, texts["id"] == members["node"]).select("id", "text", "root", "_block", "_blocks")
+    # Always the same join, whatever the size: the candidates grow with the input.
+    with_text = texts.join(members.hint("merge"), texts["id"] == members["node"]).select("id", "text", "root", "_block", "_blocks")
     dealt = with_text.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("id", "text", "_block", "root", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
 
