@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --- Fixed values: scoring, matching and paging defaults -------------------------------------------
 RELEVANCE_FEED = 70
@@ -36,10 +36,6 @@ GROUPING_MIN_COVERAGE = 0.75
 
 PERIOD_DAYS = {"today": 0, "last_7_days": 7, "last_14_days": 14, "last_30_days": 30, "all_time": None}
 
-MAX_QUERIES = 40
-MAX_RESULTS_PER_QUERY = 25
-MAX_EXTRACTIONS = 40
-
 TIER_CONFIDENCE_POINTS = {1: 45, 2: 32, 3: 25, 4: 14, 5: 5}
 TIER_RELEVANCE_POINTS = {1: 20, 2: 16, 3: 14, 4: 8, 5: 4}
 MODEL_SEVERITY_POINTS = {"low": 20, "moderate": 45, "high": 70, "critical": 90}
@@ -81,12 +77,8 @@ class ScanConfig:
     date_axis: str = "incident_date"
     regions: tuple[str, ...] = ("worldwide",)
     custom_countries: tuple[str, ...] = ()
-    languages: tuple[str, ...] = ("en",)
     include_keywords: tuple[str, ...] = ()
     exclude_keywords: tuple[str, ...] = ()
-    max_queries: int = MAX_QUERIES
-    max_results_per_query: int = MAX_RESULTS_PER_QUERY
-    max_extractions: int | None = MAX_EXTRACTIONS
+    max_extractions: int | None = None  # no budget: every article is extracted
     relevance_feed: int = RELEVANCE_FEED
     relevance_review: int = RELEVANCE_REVIEW
-    extra: dict = field(default_factory=dict)

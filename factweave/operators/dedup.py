@@ -23,7 +23,6 @@ from factweave.session import materialise, spread
 
 REASONS = ("canonical_url", "normalized_url", "content_hash", "title_hash_same_publisher", "fuzzy_syndication")
 KEPT, OPEN, DUPLICATE = "kept", "open", "duplicate"
-MAX_ROUNDS = 200
 
 
 @dataclass(frozen=True)
@@ -238,9 +237,8 @@ def first_wins(articles: DataFrame, known: DataFrame | None = None, rules: Dedup
     all_members = members
 
     live = members
-    for _ in range(MAX_ROUNDS):
-        if live.filter(F.col("status") == OPEN).isEmpty():
-            break
+    # Every round decides the earliest open article at least, so this ends however long a chain of copies is.
+    while not live.filter(F.col("status") == OPEN).isEmpty():
         waiting = live.filter(F.col("status") == OPEN).groupBy("cell").agg(F.min("seq").alias("open_seq"))
         state = _kept_of(live).withColumn("open_seq", F.lit(None).cast("bigint")).unionByName(
             waiting.select("cell", F.lit(None).cast("bigint").alias("kept_seq"), F.lit(None).cast("bigint").alias("kept_t"), "open_seq"))
@@ -255,8 +253,6 @@ def first_wins(articles: DataFrame, known: DataFrame | None = None, rules: Dedup
         live = materialise(
             live.join(decided, "seq", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
             .filter(F.col("status") != DUPLICATE), "dedup-round")
-    else:
-        raise RuntimeError(f"first-wins resolution did not settle in {MAX_ROUNDS} rounds")
 
     # Duplicates are the batch members that are no longer alive; name the earliest kept article they match.
     lost = all_members.filter(F.col("status") == OPEN).join(live.select("seq").distinct(), "seq", "left_anti")

@@ -30,7 +30,7 @@ def read_increments(spark: SparkSession, path: str, schema: StructType, fmt: str
     return reader.load(path)
 
 
-def distinct_articles(stream: DataFrame, within: str = "7 days") -> DataFrame:
+def distinct_articles(stream: DataFrame, within: str = "45 days") -> DataFrame:
     """Never the same URL twice within the horizon; state older than the watermark is dropped.
 
     The event time must be a timestamp. Undated articles cannot be placed in time and are not deduplicated here.
@@ -56,7 +56,8 @@ def scan_batches(articles: DataFrame, store: str, checkpoint: str, config: ScanC
 
     Batch n reads the newest snapshot below n + 1 and writes exactly snapshot n + 1 of each table, so a batch that is
     repeated after a failure gives the same state instead of counting its articles twice. Files arrive in any order,
-    so `seq` counts inside a batch and batches follow one another: it is shifted by `BATCH_SPAN` per batch.
+    so `seq` counts inside a batch and batches follow one another: it is shifted by `BATCH_SPAN` per batch. Articles beyond
+    the extraction budget wait in a table of their own and come first in the next batch.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
@@ -64,6 +65,9 @@ def scan_batches(articles: DataFrame, store: str, checkpoint: str, config: ScanC
         batch = batch.withColumn("seq", F.col("seq") + F.lit(batch_id * BATCH_SPAN))
         known = read_snapshot(spark, store, "articles", before=number)
         facts = read_snapshot(spark, store, "incidents", before=number)
+        waiting = read_snapshot(spark, store, "deferred", before=number)
+        if waiting is not None:
+            batch = waiting.unionByName(batch, allowMissingColumns=True)
         result = scan(batch, config, now, stored_articles=known, stored_incidents=facts, **options)
         fresh_articles, fresh_incidents = result.articles, result.incidents
         if known is not None:
@@ -76,5 +80,7 @@ def scan_batches(articles: DataFrame, store: str, checkpoint: str, config: ScanC
         write_snapshot(fresh_incidents, store, "incidents", number)
         write_snapshot(result.changes, store, "changes", number)
         write_snapshot(result.stages, store, "stages", number)
+        put_off = result.stages.filter("stage = 'deferred'").select("seq")
+        write_snapshot(batch.join(put_off, "seq", "left_semi"), store, "deferred", number)
 
     return run_available(articles, one_batch, checkpoint)

@@ -13,7 +13,7 @@ SAMPLE = ["feed_page", "feed_facet_filters", "dashboard_top_lists", "evidence_co
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns[0] == "id"
+    assert entry.entry(spark).count() > 0
 
 
 def test_names():
