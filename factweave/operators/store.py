@@ -84,3 +84,18 @@ def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None
     """The newest complete snapshot (below `before` if given), None when there is none."""
     numbers = [n for n in _numbers(spark, root, table) if before is None or n < before]
     return spark.read.parquet(snapshot_path(root, table, numbers[-1])) if numbers else None
+
+
+def read_deltas(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame | None:
+    """All complete snapshots (below `before` if given) of a table that only grows, with their number as `snapshot`."""
+    numbers = [n for n in _numbers(spark, root, table) if before is None or n < before]
+    if not numbers:
+        return None
+    paths = [snapshot_path(root, table, n) for n in numbers]
+    return spark.read.option("basePath", f"{root.rstrip('/')}/{table}").parquet(*paths)
+
+
+def read_current(spark: SparkSession, root: str, table: str, key: str, before: int | None = None) -> DataFrame | None:
+    """The newest row of every key over all deltas: a batch writes what it changed, not the whole table."""
+    deltas = read_deltas(spark, root, table, before)
+    return None if deltas is None else keep_last(deltas, [key], "snapshot").drop("snapshot")

@@ -6,6 +6,9 @@ results are written once (`materialise`) because several outputs read them.
 
 Grouping inside a batch compares facts as first reported; a sequential run would compare with facts an earlier article
 of the same batch had already merged.
+
+An update keeps what an incident was created with: only consequences, names and well or process-safety facts are patched,
+a missing date is filled, relevance never falls. Counters cover every article ever linked, not those of this batch.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 from factweave.config import CLASSIFIER_REJECT_BELOW, PUBLICATION_LEAD_IN_DAYS, ScanConfig
 from factweave.functions.text import truncate
 from factweave.functions.time import effective_date, effective_date_is_estimate, passes_publication_window, passes_window, resolve_window
-from factweave.operators import changes, dedup, extract, linkage, provenance, relevance, runs, scoring
+from factweave.operators import alerts, changes, dedup, extract, linkage, provenance, relevance, runs, scoring
+from factweave.operators.ordered import running_merge, with_previous
 from factweave.operators.skew import keep_last
 from factweave.session import materialise
 from factweave.terms import TermLists
@@ -29,13 +33,16 @@ _PATCHED = ["fatalities", "injuries", "missing_persons", "evacuated_persons", "h
             "well_control_event", "operator", "asset", "installation", "field", "well_name", "is_well_integrity_related",
             "well_integrity_category", "suspected_failed_component", "barrier_function_impacted", "is_process_safety_event",
             "process_safety_category"]
-_FIXED = ["incident_date", "incident_type", "title", "summary", "company", "country", "country_code", "basin", "block", "installation_type",
-          "well_number", "oil_gas_sector", "environment", "lifecycle_stage", "incident_date_is_estimated"]
+# As created, NULL included; of these only a missing date is ever filled.
+_FIXED = ["incident_type", "title", "summary", "company", "country", "country_code", "basin", "block", "installation_type",
+          "well_number", "oil_gas_sector", "environment", "lifecycle_stage", "incident_date_is_estimated",
+          "secondary_incident_types", "status"]
 
 
 @dataclass(frozen=True)
 class ScanResult:
-    """Tables of one run. `incidents` holds the final state of every created or updated incident."""
+    """Tables of one run. `incidents` holds the final state of every created or updated incident, `links` the articles this
+    run attached (with publisher and tier, which later counters need), `changes` the updates not recorded before."""
 
     stages: DataFrame
     articles: DataFrame
@@ -49,12 +56,16 @@ class ScanResult:
 
 
 def scan(articles: DataFrame, config: ScanConfig, now: datetime, terms: TermLists | None = None, stored_articles: DataFrame | None = None,
-         stored_incidents: DataFrame | None = None, dedicated: str | None = None) -> ScanResult:
+         stored_incidents: DataFrame | None = None, dedicated: str | None = None, stored_links: DataFrame | None = None,
+         stored_changes: DataFrame | None = None) -> ScanResult:
     """Run one scan over `articles` (`seq` is the arrival order and the article id of the batch).
 
-    Stored articles take part in deduplication, stored incidents (columns of `ScanResult.incidents`) in linking. Batch
-    `seq` values must be above every stored one.
+    Stored articles take part in deduplication, stored incidents (columns of `ScanResult.incidents`) in linking, stored links
+    (columns of `ScanResult.links`) in the counters of the incidents they belong to, stored changes in recording each change
+    once. Batch `seq` values must be above every stored one.
     """
+    if (stored_incidents is None) != (stored_links is None):
+        raise ValueError("stored incidents and their stored links are needed together")
     terms = terms or TermLists.english()
     window = resolve_window(now, config.period)
     c = F.col
@@ -106,11 +117,14 @@ def scan(articles: DataFrame, config: ScanConfig, now: datetime, terms: TermList
     fresh = records.join(targets.select(c("candidate").alias("seq")), "seq", "left_anti")
     grouped = linkage.group_batch(fresh, now.date(), key="seq", order="seq")
     links = targets.unionByName(grouped.select("candidate", c("leader").alias("incident_id")))
-    links = materialise(links.withColumnRenamed("candidate", "seq"), "scan-links")
+    links = materialise(links.withColumnRenamed("candidate", "seq").join(records.select("seq", "publisher", "source_tier"), "seq"), "scan-links")
 
-    versions = _versions(records, links, stored_incidents)
+    versions = _versions(records, links.select("seq", "incident_id"), stored_incidents)
     moved = _changes(versions)
-    incidents = _final_state(versions, moved, records, links, stored_incidents, now)
+    incidents = _final_state(versions, moved, _all_links(links, stored_links), now)
+    recorded = moved
+    if stored_changes is not None:
+        recorded = moved.join(stored_changes.select("incident_id", "fingerprint"), ["incident_id", "fingerprint"], "left_anti").select(*moved.columns)
     created = links.filter("seq = incident_id")
 
     stage = lambda df, name: df.select("seq", F.lit(name).alias("stage"))
@@ -123,13 +137,14 @@ def scan(articles: DataFrame, config: ScanConfig, now: datetime, terms: TermList
         .unionByName(stage(considered.select("seq").join(links.select("seq"), "seq", "left_anti"), "rejected_late"))
     )
     stored_rows = dedup.with_dedup_keys(judged.join(records.select("seq", "relevance_score"), "seq").drop("_in_time", *relevance.VERDICT_COLUMNS))
-    provenance_rows = records.join(links, "seq")
+    provenance_rows = records.join(links.select("seq", "incident_id"), "seq")
     return ScanResult(
         stages=stages,
         articles=stored_rows,
-        links=provenance.primary_links(links.withColumn("article_id", c("seq")), "incident_id", ["seq"]),
+        # An incident carries the number of the article it was created from, which stays its primary source.
+        links=links.select("seq", "incident_id", c("seq").alias("article_id"), "publisher", "source_tier", (c("seq") == c("incident_id")).alias("is_primary")),
         versions=versions,
-        changes=moved,
+        changes=recorded,
         incidents=incidents,
         entities=keep_last(provenance.entity_rows(provenance_rows, ["incident_id", "seq"]), ["incident_id", "entity_type", "normalized_name"], "seq"),
         evidence=provenance.evidence_rows(provenance_rows, ["incident_id", "seq"], "extraction_confidence"),
@@ -137,52 +152,76 @@ def scan(articles: DataFrame, config: ScanConfig, now: datetime, terms: TermList
     )
 
 
+def _all_links(links: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """The links of this run and all earlier ones of the same incidents."""
+    columns = ["incident_id", "publisher", "source_tier"]
+    if stored is None:
+        return links.select(*columns)
+    touched = links.filter("seq <> incident_id").select("incident_id").distinct()
+    return links.select(*columns).unionByName(stored.join(touched, "incident_id", "left_semi").select(*columns))
+
+
 def _versions(records: DataFrame, links: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Every reported version of each incident, the stored state first, merged so that nothing is erased."""
     c = F.col
-    columns = ["incident_id", "seq", *_PATCHED, *_FIXED, "secondary_incident_types", "model_severity", "relevance_score", "source_tier", "publisher",
-               "extraction_confidence", "completeness", "reported_operator", "reported_country", "reported_asset", "outcome"]
+    columns = ["incident_id", "seq", *_PATCHED, "incident_date", *_FIXED, "model_severity", "relevance_score", "source_tier", "publisher",
+               "extraction_confidence", "completeness", "reported_operator", "reported_country", "reported_asset", "reported_date", "has_official_source"]
     reported = records.join(links, "seq").withColumns({
         "completeness": scoring.data_completeness(), "reported_operator": c("operator"), "reported_country": c("country"), "reported_asset": c("asset"),
-        "title": truncate(c("title"), 200)}).select(*columns)
+        "reported_date": c("incident_date"), "title": truncate(c("title"), 200), "has_official_source": F.coalesce(c("source_tier") == 1, F.lit(False)),
+        "status": F.when(c("outcome") == "feed", F.lit("new")).otherwise(F.lit("under_review"))}).select(*columns)
     if stored is not None:
         touched = links.filter("seq <> incident_id").select("incident_id").distinct()
         base = stored.join(touched, stored["seq"] == touched["incident_id"], "left_semi").withColumn("incident_id", c("seq"))
-        reported = reported.unionByName(base, allowMissingColumns=True).select(*columns)
+        reported = reported.unionByName(base.select(*columns))
     # Arrival order decides; a bucket of it keeps one much-reported incident from being one task's work.
-    staged = reported.withColumn("_bucket", F.floor(c("seq") / 10_000))
-    merged = changes.merge_versions(staged, "incident_id", "_bucket", ["seq"], latest=_PATCHED, earliest=[*_FIXED, "secondary_incident_types"], largest=["relevance_score"])
+    staged = reported.withColumn("_bucket", F.floor(c("seq") / 10_000)).withColumn("_created", F.struct(*_FIXED)).drop(*_FIXED)
+    merged = running_merge(staged, "incident_id", "_bucket", ["seq"], latest=_PATCHED, earliest=["_created", "incident_date"],
+                           largest=["relevance_score", "has_official_source"])
+    merged = merged.select("_bucket", *[c(f"_created.{name}").alias(name) if name in _FIXED else c(name) for name in columns])
     scored = scoring.score_severity(merged)
-    official = F.coalesce(c("source_tier") == 1, F.lit(False))
-    return materialise(scored.withColumns({"has_official_source": official, "cause": F.lit(None).cast("string")}), "scan-versions")
+    return materialise(scored.withColumn("cause", F.lit(None).cast("string")), "scan-versions")
 
 
 def _changes(versions: DataFrame) -> DataFrame:
-    """Material changes between consecutive versions, each fingerprint once."""
-    from factweave.operators.ordered import running_merge
+    """Changes between consecutive versions, each fingerprint once per incident.
 
-    official = running_merge(versions, "incident_id", "_bucket", ["seq"], largest=["has_official_source"])
-    moved = changes.detect_changes(official, "incident_id", "_bucket", ["seq"])
+    A report is compared with the merged state before it; the date it gives itself goes into the fingerprint.
+    """
+    linked = with_previous(versions, "incident_id", "_bucket", ["seq"], list(changes.SNAPSHOT_COLUMNS)).filter("has_prev")
+    linked = linked.withColumn("incident_date", F.coalesce("reported_date", "incident_date"))
+    moved = changes.material_changes(linked)
     shown = moved.select("incident_id", "seq", "changes", "descriptions", "fingerprint", "is_material", "change_reason")
     return materialise(changes.record_once(shown, "incident_id", ["seq"]), "scan-changes")
 
 
-def _final_state(versions: DataFrame, moved: DataFrame, records: DataFrame, links: DataFrame, stored: DataFrame | None, now: datetime) -> DataFrame:
+def _final_state(versions: DataFrame, moved: DataFrame, links: DataFrame, now: datetime) -> DataFrame:
     """Last merged version of each incident with source counters, confidence and status."""
     c = F.col
-    last = keep_last(versions.drop("_bucket"), ["incident_id"], "seq")
-    first = versions.groupBy("incident_id").agg(F.count(F.lit(1)).alias("_versions"), F.min_by(F.struct("reported_operator", "reported_country", "reported_asset"), "seq").alias("_first"))
-    sources = records.select("seq", "publisher", "source_tier").join(links, "seq")
-    counters = scoring.source_inputs(sources, "incident_id")
+    before = ["operator", "country", "asset"]
+    last = keep_last(with_previous(versions, "incident_id", "_bucket", ["seq"], before).drop("_bucket"), ["incident_id"], "seq")
+    counters = scoring.source_inputs(links, "incident_id")
     material = moved.filter("is_material").select("incident_id").distinct().withColumn("_moved", F.lit(True))
-    joined = last.drop("has_official_source").join(first, "incident_id").join(counters, "incident_id").join(material, "incident_id", "left")
-    agreement = F.when(c("_versions") > 1, scoring.pair_agreement([
-        (c("_first.reported_operator"), c("reported_operator")), (c("_first.reported_country"), c("reported_country")), (c("_first.reported_asset"), c("reported_asset"))]))
+    joined = last.drop("has_official_source").join(counters, "incident_id").join(material, "incident_id", "left")
+    agreement = F.when(c("has_prev"), scoring.pair_agreement([(c(f"prev_{name}"), c(f"reported_{name}")) for name in before]))
     score = scoring.confidence_score(c("highest_source_tier"), c("source_count"), c("strong_sources"), agreement, c("completeness"), c("extraction_confidence"), F.lit(True))
     joined = joined.withColumn("confidence_score", score)
-    status = F.when(c("_moved"), F.lit("updated")).when(c("outcome") == "feed", F.lit("new")).otherwise(F.lit("under_review"))
-    return joined.withColumns({"confidence": scoring.confidence_band(c("confidence_score")), "status": status, "last_updated_at": F.lit(now).cast("timestamp_ntz")}).drop(
-        "_versions", "_first", "_moved").withColumn("seq", c("incident_id"))
+    return joined.withColumns({
+        "confidence": scoring.confidence_band(c("confidence_score")), "status": F.when(c("_moved"), F.lit("updated")).otherwise(c("status")),
+        "last_updated_at": F.lit(now).cast("timestamp_ntz")}).drop("_moved", "has_prev", *[f"prev_{name}" for name in before]).withColumn("seq", c("incident_id"))
+
+
+def alert_rows(result: ScanResult, run_id: str) -> DataFrame:
+    """What `alerts.fan_out` takes, ordered by `seq`: one row per created incident and per material change recorded by this run.
+
+    The gates look at the state of the incident at the end of the run.
+    """
+    c = F.col
+    state = result.incidents.drop("seq")
+    created = result.links.filter("is_primary").select("incident_id", "seq").join(state, "incident_id").withColumns({
+        "kind": F.lit("new_incident"), "fingerprint": alerts.new_incident_fingerprint(), "descriptions": F.array().cast("array<string>")})
+    changed = result.changes.filter("is_material").select("incident_id", "seq", "fingerprint", "descriptions").join(state, "incident_id").withColumn("kind", F.lit("material_update"))
+    return created.unionByName(changed).withColumn("run_id", F.lit(run_id)).withColumn("incident_type", F.coalesce(c("incident_type"), F.lit("unknown")))
 
 
 def funnel(result: ScanResult, run_id: str) -> DataFrame:

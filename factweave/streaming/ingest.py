@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from factweave.config import ScanConfig
 from factweave.functions.url import normalise_url
-from factweave.operators.store import read_snapshot, write_snapshot
+from factweave.operators.skew import keep_first
+from factweave.operators.store import read_current, read_deltas, read_snapshot, write_snapshot
 from factweave.plans.scan import scan
 
 # Room for the articles of one micro-batch in `seq`.
@@ -30,13 +31,22 @@ def read_increments(spark: SparkSession, path: str, schema: StructType, fmt: str
     return reader.load(path)
 
 
-def distinct_articles(stream: DataFrame, within: str = "45 days") -> DataFrame:
-    """Never the same URL twice within the horizon; state older than the watermark is dropped.
+def distinct_articles(stream: DataFrame, store: str, checkpoint: str, table: str = "distinct") -> StreamingQuery:
+    """Never the same URL twice, however late an article comes: what is new is appended to `table` in `store`.
 
-    The event time must be a timestamp. Undated articles cannot be placed in time and are not deduplicated here.
+    A batch keeps the earliest article of each URL and drops URLs that earlier batches wrote. There is no watermark, since
+    one would lose articles older than it; what is remembered are the written URLs.
     """
-    keyed = stream.withColumn("normalized_url", normalise_url(F.coalesce("canonical_url", "url")))
-    return keyed.withWatermark("published_at", within).dropDuplicatesWithinWatermark(["normalized_url"])
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        keyed = batch.withColumn("normalized_url", normalise_url(F.coalesce("canonical_url", "url")))
+        fresh = keep_first(keyed, ["normalized_url"], "published_at", "url")
+        known = read_deltas(batch.sparkSession, store, table, before=batch_id + 1)
+        if known is not None:
+            fresh = fresh.join(known.select("normalized_url"), "normalized_url", "left_anti")
+        write_snapshot(fresh, store, table, batch_id + 1)
+
+    return run_available(stream, one_batch, checkpoint)
 
 
 def daily_counts(stream: DataFrame, time: str, keys: list[str], late: str = "45 days") -> DataFrame:
@@ -52,35 +62,32 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
 
 
 def scan_batches(articles: DataFrame, store: str, checkpoint: str, config: ScanConfig, now: datetime, **options) -> StreamingQuery:
-    """The whole scan per micro-batch against snapshots in `store`.
+    """The whole scan per micro-batch against the tables in `store`.
 
-    Batch n reads the newest snapshot below n + 1 and writes exactly snapshot n + 1 of each table, so a batch that is
-    repeated after a failure gives the same state instead of counting its articles twice. Files arrive in any order,
-    so `seq` counts inside a batch and batches follow one another: it is shifted by `BATCH_SPAN` per batch. Articles beyond
-    the extraction budget wait in a table of their own and come first in the next batch.
+    Batch n reads what the batches before it wrote and writes exactly delta n + 1 of each table, so a batch that is repeated
+    after a failure gives the same state instead of counting its articles twice, and what it writes follows the batch, not
+    the history. Files arrive in any order, so `seq` counts inside a batch and batches follow one another: it is shifted by
+    `BATCH_SPAN` per batch. Articles beyond the extraction budget wait in a table of their own and come first in the next
+    batch.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark, number = batch.sparkSession, batch_id + 1
         batch = batch.withColumn("seq", F.col("seq") + F.lit(batch_id * BATCH_SPAN))
-        known = read_snapshot(spark, store, "articles", before=number)
-        facts = read_snapshot(spark, store, "incidents", before=number)
         waiting = read_snapshot(spark, store, "deferred", before=number)
         if waiting is not None:
             batch = waiting.unionByName(batch, allowMissingColumns=True)
-        result = scan(batch, config, now, stored_articles=known, stored_incidents=facts, **options)
-        fresh_articles, fresh_incidents = result.articles, result.incidents
+        known, links, moved = (read_deltas(spark, store, name, before=number) for name in ("articles", "links", "changes"))
+        known = None if known is None else known.drop("snapshot")
+        result = scan(batch, config, now, stored_articles=known, stored_incidents=read_current(spark, store, "incidents", "incident_id", before=number),
+                      stored_links=links, stored_changes=moved, **options)
+        added = result.articles
         if known is not None:
-            added = fresh_articles.join(known.select("normalized_url"), "normalized_url", "left_anti")
-            fresh_articles = known.unionByName(added, allowMissingColumns=True)
-        if facts is not None:
-            kept = facts.join(fresh_incidents.select("incident_id"), "incident_id", "left_anti")
-            fresh_incidents = kept.unionByName(fresh_incidents, allowMissingColumns=True)
-        write_snapshot(fresh_articles, store, "articles", number)
-        write_snapshot(fresh_incidents, store, "incidents", number)
-        write_snapshot(result.changes, store, "changes", number)
-        write_snapshot(result.stages, store, "stages", number)
+            added = added.join(known.select("normalized_url"), "normalized_url", "left_anti").select(*added.columns)
         put_off = result.stages.filter("stage = 'deferred'").select("seq")
-        write_snapshot(batch.join(put_off, "seq", "left_semi"), store, "deferred", number)
+        tables = {"articles": added, "incidents": result.incidents, "links": result.links, "changes": result.changes, "entities": result.entities,
+                  "evidence": result.evidence, "highlights": result.highlights, "stages": result.stages, "deferred": batch.join(put_off, "seq", "left_semi")}
+        for name, rows in tables.items():
+            write_snapshot(rows, store, name, number)
 
     return run_available(articles, one_batch, checkpoint)

@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from factweave.config import ScanConfig
 from factweave.operators import alerts, dedup, linkage, runs, store, users
@@ -267,7 +268,7 @@ def test_scan_funnel_adds_up(spark, scanned):
 def test_second_scan_finds_nothing_new(spark, scanned):
     from factweave.session import materialise
     batch, config, first = scanned
-    again = scan(batch.withColumn("seq", F.col("seq") + 1_000_000), config, datetime(2001, 7, 31, 12), stored_articles=materialise(first.articles.withColumn("id", F.col("seq")), "t"), stored_incidents=materialise(first.incidents, "t"))
+    again = scan(batch.withColumn("seq", F.col("seq") + 1_000_000), config, datetime(2001, 7, 31, 12), stored_articles=materialise(first.articles.withColumn("id", F.col("seq")), "t"), stored_incidents=materialise(first.incidents, "t"), stored_links=materialise(first.links, "t"))
     stages = {r.stage: r["count"] for r in again.stages.groupBy("stage").count().collect()}
     # Articles of the first run that were stored come back as duplicates; none of them makes an incident again.
     stored = first.articles.select((F.col("seq") + 1_000_000).alias("seq"))
@@ -282,16 +283,57 @@ def test_budget_defers(spark, scanned):
     assert some.links.count() <= 10
 
 
-def test_stream_resumes_where_it_stopped(spark, tmp_path):
-    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    rows = spark.createDataFrame([("https://a.example.com/1?utm_id=2", None, datetime(2026, 3, 1)), ("http://www.a.example.com/1", None, datetime(2026, 3, 2))], "url string, canonical_url string, published_at timestamp")
+def test_distinct_stream_keeps_late_articles(spark, tmp_path):
+    source, store, cp = (str(tmp_path / n) for n in ("in", "store", "cp"))
+    rows = spark.createDataFrame([("https://a.example.com/1?utm_id=2", None, datetime(2026, 3, 1)), ("http://www.a.example.com/1", None, datetime(2026, 3, 2)),
+                                  ("https://a.example.com/2", None, datetime(2025, 1, 1)), ("https://a.example.com/3", None, None)], "url string, canonical_url string, published_at timestamp")
 
     def run():
-        stream = ingest.distinct_articles(ingest.read_increments(spark, source, rows.schema))
-        ingest.run_available(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), cp)
-        return spark.read.parquet(out).select("normalized_url").collect()
+        ingest.distinct_articles(ingest.read_increments(spark, source, rows.schema), store, cp)
+        return sorted(r.normalized_url for r in spark.read.parquet(f"{store}/distinct").collect())
 
-    rows.limit(1).write.parquet(source)
+    rows.filter("url like '%utm%'").write.parquet(source)
     assert len(run()) == 1
     rows.write.mode("append").parquet(source)
-    assert [r.normalized_url for r in run()] == ["https://a.example.com/1"]
+    assert run() == [f"https://a.example.com/{n}" for n in (1, 2, 3)]
+
+
+def test_update_counts_all_articles_and_keeps_status(spark, small, tmp_path):
+    """A later report of a weak source leaves tier, official flag and status of an official one; then a worse report moves it."""
+    from factweave.operators.store import read_current
+    from factweave.plans.scan import alert_rows
+    from factweave.session import materialise
+    now = datetime(2001, 7, 31, 12)
+    day = datetime(2001, 7, 25, 8)
+    title = "Explosion at offshore platform in Norway injures workers"
+    said = "An explosion and fire at the Troll platform in Norway on 25 July 2001 injured two workers, operator Equinor said."
+    rows = [(1, title, said, "Regulator", 1, "https://a.example.com/x", None, day),
+            (2, "Explosion on offshore platform in Norway: workers hurt", said.replace("said", "reported"), "Blog", 5, "https://b.example.com/y", None, day),
+            (3, "Explosion at offshore platform in Norway leaves workers dead", "On 25 July 2001 an explosion at the Troll platform in Norway left 3 workers dead, operator Equinor said.", "Paper", 3, "https://c.example.com/z", None, day)]
+    names = ["seq", "title", "excerpt", "publisher", "source_tier", "url", "canonical_url", "published_at"]
+    shape = StructType([StructField(f.name, f.dataType) for f in view(spark, small, "v_bulletin").schema])
+    make = lambda row: spark.createDataFrame([tuple(dict(zip(names, row), language="en").get(f.name) for f in shape)], shape)
+    config = ScanConfig(max_extractions=None)
+    first = scan(make(rows[0]), config, now)
+    one = first.incidents.first()
+    assert (one.source_count, one.highest_source_tier, one.has_official_source) == (1, 1, True)
+    assert {r.kind for r in alert_rows(first, "r1").collect()} == {"new_incident"}
+    inc, links, arts = materialise(first.incidents, "t"), materialise(first.links, "t"), materialise(first.articles, "t")
+    second = scan(make(rows[1]), config, now, stored_articles=arts, stored_incidents=inc, stored_links=links)
+    two = second.incidents.first()
+    assert (two.incident_id, two.source_count, two.highest_source_tier, two.has_official_source, two.status, two.title) == (1, 2, 1, True, one.status, one.title)
+    assert not second.links.first().is_primary and two.confidence_score >= one.confidence_score
+    assert second.changes.filter("is_material").isEmpty() and alert_rows(second, "r2").isEmpty()
+    inc, links = materialise(second.incidents, "t"), materialise(links.unionByName(second.links), "t")
+    third = scan(make(rows[2]), config, now, stored_articles=arts.unionByName(second.articles), stored_incidents=inc, stored_links=links, stored_changes=second.changes)
+    three = third.incidents.first()
+    assert (three.source_count, three.status, three.fatalities) == (3, "updated", 3)
+    assert "fatalities_confirmed" in third.changes.first().changes
+    assert [r.kind for r in alert_rows(third, "r3").collect()] == ["material_update"]
+    # The first and the third as a stream of two files.
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for row in (rows[0], rows[2]):
+        make(row).write.mode("append").parquet(source)
+        ingest.scan_batches(ingest.read_increments(spark, source, shape), store, str(tmp_path / "cp"), config, now)
+    last = read_current(spark, store, "incidents", "incident_id").collect()
+    assert [(r.incident_id, r.source_count, r.status, r.highest_source_tier, r.fatalities) for r in last] == [(1, 2, "updated", 1, 3)]

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from factweave.config import ScanConfig
+from factweave.operators.store import read_deltas
 from factweave.plans import scan as scan_plan
 from factweave.session import checkpoint_root
 from factweave.streaming import ingest
@@ -56,9 +57,9 @@ def stream_distinct_pages(spark, sf):
     schema = table(spark, sf, "pages").schema
     stream = ingest.read_increments(spark, sf, schema, pattern="pages.parquet").select(
         "url", F.lit(None).cast("string").alias("canonical_url"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("published_at"))
-    out = _folder(spark, "pages")
-    ingest.run_available(ingest.distinct_articles(stream), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), _folder(spark, "pages-cp"))
-    return spark.read.parquet(out).select("normalized_url")
+    store = _folder(spark, "pages")
+    ingest.distinct_articles(stream, store, _folder(spark, "pages-cp"))
+    return read_deltas(spark, store, "distinct").select("normalized_url")
 
 
 PAGES_SQL = f"SELECT DISTINCT {S.normalise_url('url')} AS normalized_url FROM pages"
