@@ -11,6 +11,7 @@ most one kept article of the batch, hence each round works on one row per cell,
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def _prefix_length(size: Column, ratio: tuple[int, int]) -> Column:
     return (size - needed + 1).cast("int")
 
 
-def similar_headlines(headlines: DataFrame, rules: DedupRules = DedupRules(), among: str = "all") -> DataFrame:
+def similar_headlines(headlines: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
     """Pairs of distinct token sets whose overlap reaches the ratio of the smaller set and that meet in time.
 
     Input: one row per (set_id, tokens, bucket, fresh). Identical headlines are one set, so copies make no pairs.
@@ -107,9 +108,11 @@ def similar_headlines(headlines: DataFrame, rules: DedupRules = DedupRules(), am
 
     near = small.filter(F.col("a_bucket").isNotNull()).withColumn("b_bucket", F.explode(F.array(*[F.col("a_bucket") + d for d in (-1, 0, 1)])))
     dated = large.filter(F.col("b_bucket").isNotNull()).join(near, ["token", "b_bucket"])
-    undated = large.join(small, "token").filter(F.col("a_bucket").isNull() | F.col("b_bucket").isNull())
+    # Only sets without a date meet by token alone; two dated sets never do.
+    any_large = large.join(small.filter(F.col("a_bucket").isNull()), "token")
+    undated_large = large.filter(F.col("b_bucket").isNull()).join(small.filter(F.col("a_bucket").isNotNull()), "token")
     columns = ["a", "b", "a_tokens", "b_tokens", "n"]
-    candidates = dated.filter(ordered_pair).select(*columns).unionByName(undated.filter(ordered_pair).select(*columns))
+    candidates = reduce(DataFrame.unionByName, [part.filter(ordered_pair).select(*columns) for part in (dated, any_large, undated_large)])
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return (
         candidates.filter(shared * den >= F.col("n") * num)
@@ -200,13 +203,12 @@ def _kept_of(members: DataFrame) -> DataFrame:
     return first.unionByName(every)
 
 
-def first_wins(articles: DataFrame, known: DataFrame | None = None, rules: DedupRules = DedupRules(),
-               fuzzy_history: bool = False) -> DataFrame:
+def first_wins(articles: DataFrame, known: DataFrame | None = None, rules: DedupRules = DedupRules()) -> DataFrame:
     """Verdict per batch article: `seq`, `is_duplicate`, `reason`, `matched_seq`, `similarity`.
 
     `articles` need `seq` (arrival order, unique) and the article columns. `known` articles come before the batch
-    and are kept by definition; their `seq` must be below every batch `seq`. They take part in the fuzzy rule with
-    `fuzzy_history=True` or when they share an exact key with the batch (see `known_articles`).
+    and are kept by definition; their `seq` must be below every batch `seq`. All of them take part in
+    every rule; to hold the fuzzy rule to articles that share an exact key with the batch, pass `known_articles(batch, history)`.
 
     Each round decides every article whose earlier neighbours are decided, so the number of rounds is the longest
     chain of dependent decisions, not the size of a group.

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.text import fold_case, fold_literal, tokenise_literal
-from factweave.operators.skew import keep_first
-from factweave.session import spread
+from factweave.functions.text import fold_case, fold_literal, tokenise
+from factweave.operators.skew import keep_first, salted_join
+from factweave.session import materialise, spread
 
-PLAN_LIMIT = 500
+BLANK_SHARES = 32
 
 
 def query_id(language: Column, region: Column, text: Column) -> Column:
@@ -27,18 +24,21 @@ def plan(queries: DataFrame, max_queries: int) -> DataFrame:
     return keep_first(keyed, ["query_id"], "position").orderBy(F.desc("priority"), "query_id").limit(max(1, max_queries))
 
 
-def expand_plan(seeds: DataFrame, region_hints: DataFrame, regions: list[str], keywords: DataFrame | None = None) -> DataFrame:
+def expand_plan(seeds: DataFrame, region_hints: DataFrame, regions: list[str], keywords: DataFrame | None = None,
+                hints_per_region: int = 3) -> DataFrame:
     """Candidate queries of a scan.
 
     `seeds` (language, text, kind, sector, category, priority, position): kind 'core' runs worldwide as it is; kind
-    'regional' is paired with up to three place hints of each requested region (region, hint, hint_position).
+    'regional' is paired with the first `hints_per_region` place hints (region, hint, hint_position from 0) of each requested region.
     `keywords` (keyword, language, position) become high-priority queries anchored to the industry.
     """
     columns = ["text", "language", "region", "country", "sector", "category", "priority", "position"]
     core = seeds.filter(F.col("kind") == "core").select(
         "text", "language", F.lit("worldwide").alias("region"), F.lit(None).cast("string").alias("country"), "sector", "category", "priority", "position")
-    hints = region_hints.filter(F.col("region").isin(*[r for r in regions if r != "worldwide"]) & (F.col("hint_position") < 3))
-    paired = seeds.filter(F.col("kind") == "regional").withColumn("_k", F.lit(1)).join(F.broadcast(hints.withColumn("_k", F.lit(1))), "_k")
+    wanted = [r for r in regions if r != "worldwide"]
+    hints = region_hints.filter(F.col("region").isin(*wanted) & (F.col("hint_position") < hints_per_region)).select("region", "hint", "hint_position")
+    placed = seeds.filter(F.col("kind") == "regional").withColumn("region", F.explode(F.array(*[F.lit(r) for r in wanted]).cast("array<string>")))
+    paired = placed.join(hints, "region")
     regional = paired.select(
         F.concat_ws(" ", "text", "hint").alias("text"), "language", "region", F.col("hint").alias("country"), "sector",
         F.lit("regional").alias("category"), "priority", (F.col("position") * 100 + F.col("hint_position") + 100000).alias("position"))
@@ -53,35 +53,64 @@ def expand_plan(seeds: DataFrame, region_hints: DataFrame, regions: list[str], k
     return out.select(*columns)
 
 
+def _grams(word: Column) -> Column:
+    """The different pieces of one to three characters of a word."""
+    starts = F.sequence(F.lit(1), F.length(word))
+    pieces = F.transform(starts, lambda i: F.array(*[word.substr(i, F.lit(n)) for n in (1, 2, 3)]))
+    return F.array_distinct(F.flatten(pieces))
+
+
+def _compiled(queries: DataFrame) -> DataFrame:
+    """(query_id, phrases, terms): the quoted phrases of each query and the tokens of its whole text, repeats kept."""
+    phrases = F.transform(F.regexp_extract_all("text", F.lit('"([^"]+)"'), F.lit(1)), fold_case)
+    return queries.select("query_id", F.filter(phrases, lambda x: x != "").alias("phrases"), tokenise(F.regexp_replace("text", '"', "")).alias("terms"))
+
+
+def _longest_word(phrase: Column) -> Column:
+    """The longest piece of a phrase without a space, which lies inside one word of every text that has the phrase."""
+    pieces = F.split(phrase, r"\s+")
+    return F.array_max(F.transform(pieces, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def percolate(articles: DataFrame, queries: DataFrame, exclude=(), max_results: int | None = None) -> DataFrame:
-    """(query_id, article_id, hits, terms) for every saved query an article answers.
+    """(query_id, article_id, hits, terms) for every saved query an article answers; query ids are unique.
 
-    An article answers a query when it contains one of its quoted phrases, or at least half of its tokens as
-    substrings. A plan has at most `PLAN_LIMIT` queries (checked), so it is a parameter: each article tests the
-    distinct tokens of the plan once, in a projection without any join, and only matches leave the task.
+    An article answers a query when it contains one of its quoted phrases, or at least half of its tokens as substrings; a
+    query without tokens is answered by all. A plan may have any number of queries: a token has no space, so it lies inside one
+    word. The different words of all articles meet the different tokens by the first (at most three) characters of the token,
+    and articles meet tokens by word. A phrase is looked up by its longest word and then verified in the text.
     `max_results` keeps the first articles per query in id order.
     """
-    rows = queries.select("query_id", "text").orderBy("query_id").limit(PLAN_LIMIT + 1).collect()
-    if len(rows) > PLAN_LIMIT:
-        raise ValueError(f"a plan has at most {PLAN_LIMIT} queries; percolate several plans one after another")
-    compiled = []
-    for row in rows:
-        phrases = [fold_literal(x) for x in re.findall('"([^"]+)"', row["text"])]
-        compiled.append((row["query_id"], [x for x in phrases if x], tokenise_literal(row["text"].replace('"', ""))))
-    schema = "array<struct<query_id:string,phrases:array<string>,terms:array<string>>>"
-    plan_literal = F.from_json(F.lit(json.dumps([{"query_id": i, "phrases": p, "terms": t} for i, p, t in compiled])), schema)
-    needles = F.array(*[F.lit(x) for x in sorted({x for _, p, t in compiled for x in (*p, *t)})]).cast("array<string>")
-
+    plan_rows = materialise(_compiled(queries), "percolate-plan")
     text = fold_case(F.concat_ws(" ", "title", F.coalesce("excerpt", F.lit("")), "publisher"))
     stream = spread(articles).select(F.col("id").alias("article_id"), text.alias("_text"))
     for keyword in exclude:
         if keyword:
             stream = stream.filter(~F.contains("_text", F.lit(fold_literal(keyword))))
-    found = stream.select("article_id", F.filter(needles, lambda n: F.contains(F.col("_text"), n)).alias("_found"))
-    hits = lambda q: F.size(F.filter(q["terms"], lambda t: F.array_contains("_found", t)))
-    answered = F.filter(plan_literal, lambda q: F.arrays_overlap(q["phrases"], "_found") | (F.size(q["terms"]) == 0) | (hits(q) * 2 >= F.size(q["terms"])))
-    matched = found.select("article_id", "_found", F.explode(answered).alias("q")).select(
-        "q.query_id", "article_id", hits(F.col("q")).cast("bigint").alias("hits"), F.size("q.terms").cast("bigint").alias("terms"))
+    stream = materialise(stream, "percolate-texts")
+
+    tokens = plan_rows.select("query_id", F.explode("terms").alias("needle"))
+    quoted = plan_rows.select("query_id", F.explode("phrases").alias("phrase")).withColumn("needle", _longest_word(F.col("phrase")))
+    needles = tokens.select("needle").unionByName(quoted.select("needle")).filter("needle <> ''").distinct().withColumn("gram", F.substring("needle", 1, 3))
+    words = stream.select("article_id", F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("word")).filter("word <> ''")
+    vocabulary = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    inside = vocabulary.join(needles, "gram").filter(F.contains("word", F.col("needle"))).select("word", "needle").distinct()
+    inside = materialise(inside, "percolate-words")
+    seen = materialise(salted_join(words, inside, "word", "article_id").select("article_id", "needle").distinct(), "percolate-seen")
+
+    hit = salted_join(seen, tokens, "needle", "article_id").select("query_id", "article_id", F.lit(1).alias("hit"), F.lit(False).alias("quoted"))
+    asked = salted_join(seen, quoted.filter("needle <> ''"), "needle", "article_id").select("query_id", "article_id", "phrase")
+    said = stream.join(asked, "article_id").filter(F.contains("_text", F.col("phrase"))).select("query_id", "article_id")
+    # Queries that name nothing to look up are compared with every article, a share of the articles at a time.
+    blank = plan_rows.filter((F.size("terms") == 0) | F.exists("phrases", lambda x: F.trim(x) == ""))
+    blank = blank.select("query_id", "phrases", F.size("terms").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(BLANK_SHARES - 1))).alias("share"))
+    shares = stream.withColumn("share", F.pmod(F.xxhash64("article_id"), F.lit(BLANK_SHARES)).cast("int"))
+    everyone = shares.join(blank, "share").filter((F.col("n") == 0) | F.exists("phrases", lambda x: F.contains("_text", x)))
+    others = said.unionByName(everyone.select("query_id", "article_id")).select("*", F.lit(0).alias("hit"), F.lit(True).alias("quoted"))
+
+    found = hit.unionByName(others).groupBy("query_id", "article_id").agg(F.sum("hit").alias("hits"), F.max("quoted").alias("quoted"))
+    sizes = plan_rows.select("query_id", F.size("terms").cast("bigint").alias("terms"))
+    matched = found.join(sizes, "query_id").filter("quoted or hits * 2 >= terms").select("query_id", "article_id", "hits", "terms")
     if max_results is None:
         return matched
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("article_id"))

@@ -67,19 +67,20 @@ def sites_by_host(catalogue: DataFrame, position: str = "position") -> DataFrame
         F.col("_host").alias("site_host"), "s.*", F.col("_first").alias("site_position"))
 
 
-def with_source(articles: DataFrame, sites: DataFrame, key: str, url: str = "url", default_tier: int = 5) -> DataFrame:
+def with_source(articles: DataFrame, sites: DataFrame, url: str = "url", default_tier: int = 5) -> DataFrame:
     """Add `source_tier`, `source_name` and `is_dedicated` by the article's host.
 
     The exact host wins, then the first catalogue host it is a subdomain of, then government and military domains
-    (tier 1), then the default. The host is exploded into its parent domains, so the lookup is an equi join with the
-    catalogue (broadcast after a size check), never a comparison of every host with every source.
+    (tier 1), then the default. Only different hosts are looked up: each is exploded into its parent domains and meets the
+    catalogue by equality (broadcast after a size check); articles then meet their host's entry.
     """
     host = F.regexp_replace(url_host(F.col(url)), r"^(www|m|amp)\.", "")
-    hosts = articles.select(key, host.alias("_host"), F.posexplode(host_suffixes(host)).alias("_depth", "site_host"))
+    hosted = articles.withColumn("_host", host)
+    hosts = hosted.select("_host").distinct().select("_host", F.posexplode(host_suffixes(F.col("_host"))).alias("_depth", "site_host"))
     small = F.broadcast(sites) if table_bytes(sites) <= BROADCAST_LIMIT else sites
-    found = hosts.join(small, "site_host").groupBy(key).agg(
+    found = hosts.join(small, "site_host").groupBy("_host").agg(
         F.min_by(F.struct("name", "tier", "is_dedicated"), F.struct((F.col("_depth") > 0).alias("parent"), "site_position")).alias("_site"))
-    return _apply_tier(articles.join(found, key, "left"), url, default_tier)
+    return _apply_tier(hosted.join(found, "_host", "left").drop("_host"), url, default_tier)
 
 
 def _apply_tier(joined: DataFrame, url: str, default_tier: int) -> DataFrame:

@@ -91,7 +91,7 @@ def flatten_responses(responses: DataFrame, shape: ResponseShape, body: str = "b
                       lookup=None) -> DataFrame:
     """Articles of one provider's responses; unsafe URLs, withdrawn titles and unreadable responses give no row.
 
-    `lookup(df, key)` may add the catalogue's `source_name` and `source_tier` by URL.
+    `lookup(df)` may add the catalogue's `source_name` and `source_tier` by URL.
     """
     parsed = responses.select(F.col(language).alias("language"), F.from_json(body, shape.schema, {"mode": "PERMISSIVE"}).alias("r"))
     items = parsed.select("language", F.explode(F.col(f"r.{shape.items}")).alias("item"))
@@ -100,7 +100,7 @@ def flatten_responses(responses: DataFrame, shape: ResponseShape, body: str = "b
         items = items.filter(~shape.title.isin(*shape.drop_titles))
     items = items.withColumn("url", shape.url)
     if lookup is not None:
-        items = lookup(items.withColumn("row", F.xxhash64("item", "language")), "row").drop("row", "is_dedicated")
+        items = lookup(items).drop("is_dedicated")
     else:
         items = items.withColumn("source_name", F.lit(None).cast("string")).withColumn("source_tier", F.lit(shape.default_tier))
     null = F.lit(None).cast("string")

@@ -184,7 +184,7 @@ def test_aggregator_titles_and_catalogue(spark):
     urls = ["https://www.bsee.gov/a", "https://sub.energyvoice.com/a", "https://x.gov.uk/a", "https://press.hse.gov.uk/a", "https://unknown.example.com/a", "nonsense"]
     df = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
     sites = catalogue.sites_by_host(catalogue.default_catalogue(spark).withColumn("position", F.monotonically_increasing_id()))
-    got = {r.id: (r.source_tier, r.is_dedicated) for r in catalogue.with_source(df, sites, "id").collect()}
+    got = {r.id: (r.source_tier, r.is_dedicated) for r in catalogue.with_source(df, sites).collect()}
     assert got == {0: (1, True), 1: (3, True), 2: (1, False), 3: (1, True), 4: (5, False), 5: (5, False)}
 
 

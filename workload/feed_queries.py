@@ -329,6 +329,7 @@ DOSSIER_SOURCES_SQL = with_sql("v_evidence") + """, e AS (SELECT DISTINCT * FROM
   coalesce(strftime(published_at, '%d %b %Y'), 'Date not reported') AS published, url,
   CASE source_tier WHEN 1 THEN 'Tier 1 — Official regulator / government / operator statement' WHEN 2 THEN 'Tier 2 — Major international news organisation' WHEN 3 THEN 'Tier 3 — Recognised Oil & Gas publication' WHEN 4 THEN 'Tier 4 — Regional / local media' ELSE 'Tier 5 — Low-authority or unverified source' END AS tier FROM e"""
 
+#: Sources that a narrative quotes by position; their number and the first excerpt come from all of them.
 _BEST = 5
 
 
@@ -354,15 +355,14 @@ def assembled(spark, sf):
 
 
 def incident_detail(spark, sf):
-    """The aggregate, its arrays as text."""
-    join = lambda col, name: F.array_join(F.transform(col, lambda s: s[name]), ";")
-    return assembled(spark, sf).select(
-        "incident_id", "title", join("sources", "article_id").alias("sources"), F.array_join("publishers", ";").alias("publishers"), "publisher_count",
-        F.array_join(F.transform("entities", lambda s: F.concat_ws("=", s["entity_type"], s["name"])), ";").alias("entities"))
+    """The whole aggregate of every incident as rows: title, sources, publishers, entities, evidence, user states."""
+    base = view(spark, sf, "v_incident").withColumnRenamed("id", "incident_id")
+    sources = dossier.source_rows(view(spark, sf, "v_evidence").distinct(), "incident_id")
+    return provenance.detail_rows(base, "incident_id", sources, current_states(spark, sf))
 
 
 _SOURCE_CTES = """, e AS (SELECT DISTINCT * FROM v_evidence), ranked AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY source_tier, coalesce(published_at, TIMESTAMP '1970-01-01') DESC, article_id) AS r FROM e),
-  src AS (SELECT incident_id, string_agg(article_id, ';' ORDER BY r) AS sources, list(excerpt ORDER BY r) AS excerpts, list(publisher ORDER BY r) AS pubs FROM ranked WHERE r <= 5 GROUP BY incident_id),
+  src AS (SELECT incident_id, list(excerpt ORDER BY r) AS excerpts, list(publisher ORDER BY r) AS pubs FROM ranked GROUP BY incident_id),
   pubfirst AS (SELECT incident_id, publisher, min(r) AS r FROM ranked GROUP BY incident_id, publisher),
   pubrank AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY r) AS pr, count(*) OVER (PARTITION BY incident_id) AS n FROM pubfirst),
   pub AS (SELECT incident_id, max(n) AS publisher_count, string_agg(publisher, ';' ORDER BY r) FILTER (WHERE pr <= 5) AS publishers FROM pubrank GROUP BY incident_id)"""
@@ -372,10 +372,14 @@ def _entities_sql(table: str, key: str) -> str:
     return " UNION ALL ".join(f"SELECT {key}, '{kind}' AS entity_type, {col} AS name FROM {table} WHERE trim({col}) <> ''" for kind, col, _ in provenance.ENTITY_COLUMNS)
 
 
-DETAIL_SQL = with_sql("v_incident", "v_evidence") + _SOURCE_CTES + f""", ent AS ({_entities_sql('v_incident', 'id')}),
-  entl AS (SELECT id, string_agg(concat_ws('=', entity_type, name), ';' ORDER BY entity_type, name) AS entities FROM ent GROUP BY id)
-  SELECT v.id AS incident_id, v.title, s.sources, p.publishers, p.publisher_count, n.entities FROM v_incident v LEFT JOIN src s ON s.incident_id = v.id
-  LEFT JOIN pub p ON p.incident_id = v.id LEFT JOIN entl n ON n.id = v.id"""
+DETAIL_SQL = with_sql("v_incident", "v_evidence", "v_state") + _STATES_SQL + f""", e AS (SELECT DISTINCT * FROM v_evidence),
+  src AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY source_tier, coalesce(published_at, TIMESTAMP '1970-01-01') DESC, article_id) AS r FROM e)
+  SELECT id AS incident_id, 'incident' AS part, CAST(0 AS BIGINT) AS position, 'title' AS name, title AS value FROM v_incident
+  UNION ALL SELECT incident_id, 'source', r, article_id, publisher FROM src
+  UNION ALL SELECT incident_id, 'publisher', min(r), publisher, CAST(count(*) AS VARCHAR) FROM src GROUP BY incident_id, publisher
+  UNION ALL SELECT id, 'entity', 0, entity_type, name FROM ({_entities_sql('v_incident', 'id')})
+  UNION ALL {" UNION ALL ".join(f"SELECT id, 'evidence', 0, '{c}', CAST({c} AS VARCHAR) FROM v_incident WHERE {c} IS NOT NULL" for c in provenance.EVIDENCE_COLUMNS)}
+  UNION ALL SELECT incident_id, 'state', 0, CAST(user_id AS VARCHAR), state FROM states WHERE incident_id IN (SELECT id FROM v_incident)"""
 
 
 def narrative(spark, sf):

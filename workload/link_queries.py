@@ -488,6 +488,38 @@ def query_plan(spark, sf):
     return saved_queries.plan(_plan_queries(spark, sf), 40).select("query_id", "text", "priority")
 
 
+def _seeds(spark, sf):
+    return table(spark, sf, "part").select(
+        F.col("p_name").alias("text"), F.lit("en").alias("language"), F.when(F.col("p_partkey") % 3 == 0, F.lit("core")).otherwise(F.lit("regional")).alias("kind"),
+        F.lit("upstream").alias("sector"), F.lit("safety").alias("category"), F.col("p_size").cast("bigint").alias("priority"), F.col("p_partkey").cast("bigint").alias("position"))
+
+
+def query_candidates(spark, sf):
+    """Candidate queries: part names as they are or with places of two regions, nations as keywords."""
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    hints = nations.select(F.col("r_name").alias("region"), F.col("n_name").alias("hint"), F.floor(F.col("n_nationkey") / 5).cast("bigint").alias("hint_position"))
+    keywords = nations.select(F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(" gas"))).otherwise(F.col("n_name")).alias("keyword"),
+                              F.lit("en").alias("language"), F.col("n_nationkey").cast("bigint").alias("position"))
+    return saved_queries.expand_plan(_seeds(spark, sf), hints, ["worldwide", "ASIA", "EUROPE"], keywords)
+
+
+CANDIDATES_SQL = """WITH s AS (SELECT p_name AS text, p_partkey % 3 = 0 AS core, CAST(p_size AS BIGINT) AS priority, CAST(p_partkey AS BIGINT) AS position FROM part),
+  n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
+  h AS (SELECT r_name AS region, n_name AS hint, n_nationkey // 5 AS hp FROM n WHERE r_name IN ('ASIA', 'EUROPE') AND n_nationkey // 5 < 3),
+  k AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN concat(n_name, ' gas') ELSE n_name END AS keyword, n_nationkey AS position FROM n)
+  SELECT text, 'en' AS language, 'worldwide' AS region, NULL AS country, 'upstream' AS sector, 'safety' AS category, priority, position FROM s WHERE core
+  UNION ALL SELECT concat_ws(' ', text, hint), 'en', region, hint, 'upstream', 'regional', priority, position * 100 + hp + 100000 FROM s, h WHERE NOT core
+  UNION ALL SELECT CASE WHEN regexp_matches(keyword, '(?i)oil|gas|petro|well|rig|platform|refin|pipeline') THEN keyword ELSE concat(keyword, ' (oil OR gas OR petroleum)') END,
+    'en', 'worldwide', NULL, 'unknown', 'user-keyword', 110 - position, position + 1000000 FROM k"""
+
+
+def percolation_all(spark, sf):
+    """Bulletins answering each query of a plan without a budget."""
+    plan = saved_queries.plan(_plan_queries(spark, sf), 1_000_000)
+    found = saved_queries.percolate(view(spark, sf, "v_bulletin"), plan)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("articles"), F.sum("hits").alias("hits"), F.min("article_id").alias("first_article"))
+
+
 def percolation(spark, sf):
     """Bulletins answering each saved query."""
     plan = saved_queries.plan(_plan_queries(spark, sf), 40)
@@ -508,13 +540,13 @@ def store_upsert(spark, sf):
     """Articles after an upsert: the first half is stored, all are incoming; old rows stay, missing scores are filled."""
     rows = dedup.with_dedup_keys(view(spark, sf, "v_bulletin")).select("id", "normalized_url", "title", (F.col("id") % 90).alias("relevance_score"))
     stored = keep_first(rows.filter("id % 2 = 0"), ["normalized_url"], "id").withColumn("relevance_score", F.when(F.col("id") % 4 == 0, F.col("relevance_score")))
-    incoming = rows.filter("id % 5 < 3").withColumn("relevance_score", F.when(F.col("id") % 3 == 0, F.col("relevance_score")))
+    incoming = rows.filter("id % 2 = 1 OR id % 5 < 3").withColumn("relevance_score", F.when(F.col("id") % 3 == 0, F.col("relevance_score")))
     return store.upsert_articles(stored, incoming, ["id"]).select("normalized_url", "id", "relevance_score")
 
 
 UPSERT_SQL = with_sql("v_bulletin") + f""", r AS (SELECT id, {S.normalise_url('coalesce(canonical_url, url)')} AS n, id % 90 AS sc FROM v_bulletin),
   st AS (SELECT n, min(id) AS id, CASE WHEN min(id) % 4 = 0 THEN arg_min(sc, id) END AS sc FROM r WHERE id % 2 = 0 GROUP BY n),
-  ic AS (SELECT n, min(id) AS id, CASE WHEN min(id) % 3 = 0 THEN arg_min(sc, id) END AS sc FROM r WHERE id % 5 < 3 GROUP BY n)
+  ic AS (SELECT n, min(id) AS id, CASE WHEN min(id) % 3 = 0 THEN arg_min(sc, id) END AS sc FROM r WHERE id % 2 = 1 OR id % 5 < 3 GROUP BY n)
   SELECT coalesce(st.n, ic.n) AS normalized_url, coalesce(st.id, ic.id) AS id, CASE WHEN st.id IS NULL THEN ic.sc ELSE coalesce(ic.sc, st.sc) END AS relevance_score FROM st FULL JOIN ic ON st.n = ic.n"""
 
 
@@ -575,6 +607,8 @@ QUERIES = {
     "run_answer_reuse": (answer_reuse, ANSWER_SQL),
     "query_plan": (query_plan, "WITH" + _PLAN_CTE + " SELECT query_id, text, priority FROM pl"),
     "query_percolation": (percolation, PERCOLATE_SQL),
+    "query_percolation_all": (percolation_all, PERCOLATE_SQL.replace(" LIMIT 40)", ")").replace(" WHERE NOT contains(t, 'atlantis')", "")),
+    "query_candidates": (query_candidates, CANDIDATES_SQL),
     "store_upsert_articles": (store_upsert, UPSERT_SQL),
     "store_patch_incidents": (store_patch, PATCH_SQL),
     "store_children": (store_children, _children_sql()),

@@ -74,7 +74,7 @@ URL_SQL = with_sql("v_page") + f""" SELECT id, {S.normalise_url('url')} AS url_k
 
 def similarity_pairs(spark, sf):
     """Each incident compared with the next one in its country: headline, trigram and name similarity."""
-    left = view(spark, sf, "v_incident").filter("country IS NOT NULL").select("id", "country", "title", "operator")
+    left = view(spark, sf, "v_incident").select("id", "country", "title", "operator")
     right = left.select((F.col("id") - 25).alias("id"), F.col("title").alias("title_b"), F.col("operator").alias("operator_b"), F.col("country").alias("country_b"))
     joined = left.join(right, "id")
     round6 = lambda c: F.round(c, 6)
@@ -86,7 +86,7 @@ def similarity_pairs(spark, sf):
 
 
 _TRI = "list_distinct(list_transform(range(1, length(p{0}) - 1), lambda i: substr(p{0}, i, 3)))"
-SIMILARITY_SQL = with_sql("v_incident") + f""", l AS (SELECT id, country, title, operator FROM v_incident WHERE country IS NOT NULL),
+SIMILARITY_SQL = with_sql("v_incident") + f""", l AS (SELECT id, country, title, operator FROM v_incident),
   j AS (SELECT a.id, a.title AS ta, b.title AS tb, {S.token_set('a.title')} AS x, {S.token_set('b.title')} AS y, {S.org('a.operator')} AS oa, {S.org('b.operator')} AS ob,
     concat(' ', trim(regexp_replace(lower(a.title), '\\s+', ' ', 'g')), ' ') AS p1, concat(' ', trim(regexp_replace(lower(b.title), '\\s+', ' ', 'g')), ' ') AS p2
     FROM l a JOIN l b ON b.id = a.id + 25),
@@ -316,7 +316,7 @@ def page_tiers(spark, sf):
     sites = pages.select(host.alias("site_host")).distinct().filter(letter(6) % 3 == 0).select(
         F.regexp_replace("site_host", "^blog\\.", "").alias("site"), (letter(7) % 3 + 1).cast("int").alias("tier"), F.col("site_host").alias("position"),
         F.col("site_host").alias("name"), (F.length("site_host") % 2 == 0).alias("is_dedicated"))
-    found = catalogue.with_source(pages.select("id", "url"), catalogue.sites_by_host(sites), "id", default_tier=5)
+    found = catalogue.with_source(pages.select("id", "url"), catalogue.sites_by_host(sites), default_tier=5)
     return found.select("id", "source_tier", "source_name", "is_dedicated")
 
 
