@@ -293,6 +293,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, shar
     by_bucket = placed.groupBy("_bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = by_bucket.select("_bucket", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # Written, so that the two sides of the cogroup share no columns: `count()` would take them from one of them.
+    before = materialise(before, "ranks")
     wide = 1 << 48
     keys = length_of * wide + first_of
 
