@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import langid, lines, mixing, ngram_join, packing
-from factweave.llm.common import table
+from factweave.llm.common import row_key, table
 from factweave.llm.queries import tokenizer
 from factweave.session import materialise
 
@@ -26,18 +26,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat it are one.
+    """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat its id and text are one.
 
-    Only documents that go are looked up, by doc_id. Documents without words or id are no copies of one another and all stay.
+    Only documents that go are looked up, by a key of doc_id and text. Documents without words are no copies of one another and all stay.
     """
-    found = ngram_join.near_duplicates(docs)
-    gone = found.filter("class_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.filter("class_id = doc_id and copies > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    found = ngram_join.grouped(docs)
+    keyed = docs.select("*", *row_key())
+    gone = found.filter("not stays").select("r1", "r2").distinct()
+    left = keyed.join(gone, ["r1", "r2"], "left_anti").select(*keyed.columns)
+    twice = found.filter("stays and copies > 1").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("r1", "r2")
     if twice.isEmpty():
-        return left
-    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return left.select(*docs.columns)
+    once = left.join(twice, ["r1", "r2"], "left_anti")
+    return once.select(*docs.columns).unionByName(left.join(twice, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key() -> list[Column]:
+    """A 128-bit key (r1, r2) of doc_id and text, so that rows of different texts differ though they share an id or have none."""
+    parts = [F.col(c).cast("string") for c in ("doc_id", "text")]
+    flagged = [x for p in parts for x in (p.isNull(), p)]
+    return [F.xxhash64(F.lit(3), *flagged).alias("r1"), F.xxhash64(F.lit(4), *flagged).alias("r2")]
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """`df` with `_rank` (from 0) and the running totals `sums` (each without its own row), in `order`.
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import components
+from factweave.llm.common import components, row_key
 from factweave.session import materialise
 
 SHINGLE_WORDS = 5
@@ -78,7 +78,8 @@ def signature(items: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.nd
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE_WORDS, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, k1, k2, sig): a 128-bit key of the word sequence and the labels of all trees. Both are null without words."""
+    """(doc_id, r1, r2, k1, k2, sig): the key of the row, a 128-bit key of the word sequence and the labels of all trees. The last
+    two are null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -96,9 +97,11 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS, trees: int = TREES,
                 keys.append(np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist())
                 labels.append(signature(shingles(hashes, width), factor, shift).astype(">u4").tobytes())
             k1, k2 = zip(*keys, strict=True) if keys else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(labels, pa.binary())],
+                                             ["doc_id", "r1", "r2", "k1", "k2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, k1 long, k2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row_key())
+    return rows.mapInArrow(sign, "doc_id long, r1 long, r2 long, k1 long, k2 long, sig binary")
 
 
 def forest_links(texts: DataFrame, level: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -208,7 +211,7 @@ def _compared(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, simila
 
 
 def verify(candidates: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """(id, links, root): exact links of `candidates` (node, root of a candidate group) with `texts` (id, text).
+    """(id, links, root): exact links of `candidates` (node, r1, r2, root of a candidate group) with `texts` (r1, r2, text).
 
     A group of up to `block_texts` texts is compared in one task. A larger one is dealt into hashed blocks, and each pair of
     blocks is a task of its own that returns counts and one connection per text, never pairs.
@@ -217,7 +220,7 @@ def verify(candidates: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     blocks = F.ceil(F.col("n") / block_texts).cast("int")
     members = candidates.join(sizes, "root").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     # Always the same join, whatever the size: the candidates grow with the input.
-    with_text = texts.join(members.hint("merge"), texts["id"] == members["node"]).select("id", "text", "root", "_block", "_blocks")
+    with_text = texts.join(members.hint("merge"), ["r1", "r2"]).select(F.col("node").alias("id"), "text", "root", "_block", "_blocks")
     dealt = with_text.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("id", "text", "_block", "root", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
 
@@ -228,29 +231,44 @@ def verify(candidates: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     return dealt.groupBy("root", "_i", "_j").applyInPandas(compare, "id long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, trees: int = TREES, depth: int = DEPTH,
-                    target: float = TARGET_RECALL, block_texts: int = BLOCK_TEXTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, class_id, links, copies) for every row of `docs` (doc_id, text, ...).
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, trees: int = TREES, depth: int = DEPTH,
+            target: float = TARGET_RECALL, block_texts: int = BLOCK_TEXTS, seed: int = SEED) -> DataFrame:
+    """`near_duplicates` with the key of the row (r1, r2) and `stays`: whether the row stands for its class.
 
-    Documents are compared as sets of runs of `width` words (lower case, letters and digits); `class_id` is the smallest
-    doc_id that links of at least `similarity` lead to, `links` the number of other different texts linked, `copies` the number
-    of rows with the same words. Equal texts are one text before anything is compared. A text without words is alone, as is a
-    row without doc_id and text; a doc_id stands for one text, and repeated rows are copies.
+    The row with the smallest doc_id, then row key, stands for its class, one without id only if all are; rows that repeat it do too.
     """
     signed = materialise(signatures(docs, width, trees, depth, seed), "signatures")
-    texts = signed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(
-        F.min(F.struct("doc_id", "sig")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    texts = materialise(texts.select("k1", "k2", "copies", F.col("first.doc_id").alias("id"), F.col("first.sig").alias("sig")), "texts")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    texts = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct(first.alias("row"), "sig")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(texts.select("k1", "k2", "copies", F.col("first.row").alias("first"), F.col("first.sig").alias("sig"), F.monotonically_increasing_id().alias("id")), "texts")
     level = needed_depth(similarity, trees, depth, target)
     groups = components(forest_links(texts, level, trees, depth))
-    first_texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    checked = materialise(verify(groups, first_texts, similarity, width, block_texts), "verified")
+    candidates = groups.join(texts.select(F.col("id").alias("node"), "first.r1", "first.r2"), "node")
+    # Rows that repeat both id and text are one text.
+    row_texts = docs.select(*row_key(), F.col("text").cast("string").alias("text")).dropDuplicates(["r1", "r2"])
+    checked = materialise(verify(candidates, row_texts, similarity, width, block_texts), "verified")
     roots = components(checked.filter("root != id").select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0")
     known = texts.drop("sig").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "k1", "k2", F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+        "k1", "k2", "first", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
     # Only texts that are linked or repeated need looking up; every key is dealt over SALTS tasks.
-    known = known.filter("links > 0 or copies > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = signed.drop("sig").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    known = known.filter("links > 0 or copies > 1")
+    known = known.join(known.groupBy("root").agg(F.min("first").alias("keep")), "root").drop("root", "first")
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = signed.drop("sig").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    stays = F.col("keep").isNull() | ((F.col("keep.r1") == F.col("r1")) & (F.col("keep.r2") == F.col("r2")))
     return rows.join(known, ["k1", "k2", "_salt"], "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+        "doc_id", F.coalesce("keep.doc_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "r1", "r2", stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, trees: int = TREES, depth: int = DEPTH,
+                    target: float = TARGET_RECALL, block_texts: int = BLOCK_TEXTS, seed: int = SEED) -> DataFrame:
+    """(doc_id, class_id, links, copies) for every row of `docs` (doc_id, text, ...).
+
+    Documents are compared as sets of runs of `width` words (lower case, letters and digits); `class_id` is the smallest
+    doc_id that links of at least `similarity` lead to (null if none of them has an id), `links` the number of other different
+    texts linked, `copies` the number of rows with the same words. Equal texts are one text before anything is compared. A
+    text without words is alone. Rows without id, or of different texts that share one, are compared like all others.
+    """
+    return grouped(docs, similarity, width, trees, depth, target, block_texts, seed).drop("r1", "r2", "stays")

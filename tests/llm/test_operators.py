@@ -182,3 +182,19 @@ def test_fingerprints(spark, docs):
     by = out.set_index("doc_id")
     assert by.fingerprint[1] == by.fingerprint[2] and by.near_next[1] == 1.0 and by.near_edited[1] > 0.5
     assert syncmers.compare_edits(docs.limit(0)).count() == 0
+
+
+def test_rows_without_id_are_documents_of_their_own(spark):
+    import corpus_pipeline
+
+    shared = " ".join(f"alpha{i}" for i in range(40))
+    rows = [(1, shared), (None, shared + "\nkept here"), (None, "only of this one\nsecond line"), (7, "seven says this"), (7, "another\n" + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["text"] for r in lines.dedup_lines(docs).collect())
+    assert got == sorted([shared + "\nkept here", "only of this one\nsecond line", "seven says this", "another"])
+    copies = [(None, shared), (None, shared + " x"), (None, "clean text without an id"), (7, shared + " y"), (7, "clean text of a shared id"), (8, shared), (None, None), (None, None)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    out = ngram_join.near_duplicates(docs).toPandas()
+    assert len(out) == 8 and (out.links > 0).sum() == 4 and set(out[out.links > 0].class_id) == {7}
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.join_ngrams(spark, docs, "").collect())
+    assert kept == sorted([("7", shared + " y"), ("7", "clean text of a shared id"), ("None", "clean text without an id"), ("None", "None"), ("None", "None")])
