@@ -16,6 +16,8 @@ from factweave.session import materialise
 FIT_VECTORS = 20_000
 MOST_LISTS = 4_096
 PROBES = 32
+#: Share of the lists that a query probes at least, or its neighbours are lost as the lists grow in number.
+PROBE_SHARE = 0.75
 BLOCK_VECTORS = 4_096
 COLUMNS = 16
 #: Slack of the test: a larger value gives up later.
@@ -97,13 +99,14 @@ def scan(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, turn
     return best_d, best_i
 
 
-def search(vectors: DataFrame, every: int = 100, nearest: int = NEAREST, probes: int = PROBES, epsilon: float = EPSILON, block_vectors: int = BLOCK_VECTORS,
+def search(vectors: DataFrame, every: int = 100, nearest: int = NEAREST, probes: int | None = None, epsilon: float = EPSILON, block_vectors: int = BLOCK_VECTORS,
            seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score) of the `nearest` candidates of each query, a vector whose vec_id is divisible by `every`.
 
     Vectors of another length than the most frequent take no part. Lists are dealt in hashed blocks of about `block_vectors`, so
     a list that holds most vectors is many tasks; a query goes to each block of the lists it probes, and every block returns its
-    nearest, which are ranked by (score, vec_id). With at most `probes` lists the search is complete.
+    nearest, which are ranked by (score, vec_id). By default PROBE_SHARE of the lists are probed, and PROBES at least. With at
+    most `probes` lists the search is complete.
     """
     rows = usable(vectors)
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -113,7 +116,7 @@ def search(vectors: DataFrame, every: int = 100, nearest: int = NEAREST, probes:
     dimensions, count = sizes[0]["d"], sizes[0]["n"]
     rows = rows.filter(F.size("embedding") == dimensions)
     centres = fit_lists(rows, count, seed=seed)
-    probed = min(probes, len(centres))
+    probed = min(probes or max(PROBES, math.ceil(PROBE_SHARE * len(centres))), len(centres))
 
     def assign(batches):
         for batch in batches:

@@ -198,3 +198,14 @@ def test_rows_without_id_are_documents_of_their_own(spark):
     assert len(out) == 8 and (out.links > 0).sum() == 4 and set(out[out.links > 0].class_id) == {7}
     kept = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.join_ngrams(spark, docs, "").collect())
     assert kept == sorted([("7", shared + " y"), ("7", "clean text of a shared id"), ("None", "clean text without an id"), ("None", "None"), ("None", "None")])
+
+
+def test_probes_follow_the_number_of_lists(spark):
+    data = np.random.default_rng(5).standard_normal((6000, 64))
+    out = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")).toPandas()
+    found = 0
+    for q, group in out.groupby("query_id"):
+        d = ((data - data[q]) ** 2).sum(1)
+        d[q] = np.inf
+        found += len(set(group.vec_id) & set(np.argsort(d)[:10].tolist()))
+    assert found / 600 >= 0.95
