@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from factweave.session import materialise
 
-#: A language is modelled if it is declared for at least this share of the training texts, so there are 1000 at most.
+#: A language is modelled if it is declared for this many training texts, or in a small table for this share of them.
+MIN_TEXTS = 5
 MIN_SHARE = 0.001
 BUCKETS = 1 << 15
 #: A long text counts as so many trigrams, because its trigrams are not independent.
@@ -35,15 +36,15 @@ def _trigrams(raw: bytes) -> np.ndarray:
     return ((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 15)).astype(np.int64)
 
 
-def train(texts: DataFrame, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray]:
+def train(texts: DataFrame, min_share: float = MIN_SHARE, min_texts: int = MIN_TEXTS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probability of each trigram bucket in each, from all `texts` (text, declared) by the declared language.
 
-    Tasks count their own texts; counts are summed by language and bucket, at most 1 / `min_share` times BUCKETS numbers. A last
-    column, for no language, gives every bucket the same.
+    Tasks count their own texts; counts are summed by language and bucket. The models grow with the number of declared
+    languages, not with the texts. A last column, for no language, gives every bucket the same.
     """
     shares = texts.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
     total = shares.agg(F.sum("n")).first()[0] or 0
-    languages = sorted(r["declared"] for r in shares.filter(F.col("n") >= min_share * total).collect())
+    languages = sorted(r["declared"] for r in shares.filter(F.col("n") >= min(min_texts, min_share * total)).collect())
     place = {language: i for i, language in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +202,12 @@ def row_keys(docs: DataFrame) -> list[Column]:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang, source, ...) whose language is accepted, unchanged. Texts train the models by `lang`."""
+    """The rows of `docs` (doc_id, text, lang, source, ...) whose language is accepted, unchanged. Texts train the models by `lang`.
+
+    Rows that declare a language too rare for a model stay as well: nothing can be said against it.
+    """
     rows = document_rows(docs, *row_keys(docs))
     languages, logs = train(rows.select("text", "declared"))
-    rejected = identify(rows, languages, logs).filter("not accepted").select("_k1", "_k2").distinct()
+    rows = rows.withColumn("_modelled", F.col("declared").isNull() | F.col("declared").isin(languages))
+    rejected = identify(rows, languages, logs).filter("_modelled and not accepted").select("_k1", "_k2").distinct()
     return docs.withColumns({name: key for name, key in zip(("_k1", "_k2"), row_keys(docs), strict=True)}).join(rejected, ["_k1", "_k2"], "left_anti").select(*docs.columns)

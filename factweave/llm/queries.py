@@ -47,12 +47,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document and per page; the other id is null."""
+    """One row per document and per page; the other id is null. Both train the models."""
     none = F.lit(None).cast("long")
     docs = langid.document_rows(table(spark, sf_dir, "documents"), F.col("doc_id"), none.alias("page_id"))
     pages = langid.page_rows(table(spark, sf_dir, "pages"), none.alias("doc_id"), F.col("page_id"))
-    languages, logs = langid.train(docs.select("text", "declared"))
-    return langid.identify(docs.unionByName(pages), languages, logs)
+    rows = docs.unionByName(pages)
+    languages, logs = langid.train(rows.select("text", "declared"))
+    return langid.identify(rows, languages, logs)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,3 +209,18 @@ def test_probes_follow_the_number_of_lists(spark):
         d[q] = np.inf
         found += len(set(group.vec_id) & set(np.argsort(d)[:10].tolist()))
     assert found / 600 >= 0.95
+
+
+def test_rare_languages_are_modelled_or_kept(spark, tmp_path):
+    from factweave.llm.queries import op8_language_id
+
+    said = {"en": "the cat and the dog of the house", "is": "hundurinn og kötturinn í húsinu", "fo": "ketta og hundur í húsinum", "de": "der hund und die katze im haus"}
+    rows = [(i, said["en"], "en") for i in range(7000)] + [(8000 + i, said["is"], "is") for i in range(6)] + [(9000, said["fo"], "fo")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string")
+    assert langid.train(docs.selectExpr("text", "lang as declared"))[0] == ["en", "is", "und"]
+    assert {r["lang"]: r["n"] for r in langid.keep_identified(docs).groupBy("lang").agg({"*": "count"}).toDF("lang", "n").collect()} == {"en": 7000, "is": 6, "fo": 1}
+    docs.limit(100).write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(i, f"http://h{i}.de/", f"<html lang=de><body>{said['de']}</body></html>") for i in range(20)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = op8_language_id(spark, str(tmp_path)).filter("page_id is not null").collect()
+    assert len(out) == 20 and {r["language"] for r in out} == {"de"}
