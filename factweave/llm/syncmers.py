@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factweave.session import materialise
+
 K = 4
 S = 2
 #: Anchors of a fingerprint: the smallest hashes of all anchors of a text.
@@ -69,37 +71,52 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str, size: int = SKETCH) -
     return df.withColumn(out, F.when(total == 0, 1.0).otherwise(2.0 * common / (total + common))).drop("_u")
 
 
+def with_blocks(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_id, text, _hash, _tie, _block): blocks of about `block_docs` documents that follow one another by (doc_id, _hash, _tie).
+
+    Spark samples the ranges from the rows, not from the values of the ids: ids may lie any way, be null or repeat. Rows that
+    share an id are spread by a hash of the text, rows that share both by their place in the input. Only these keys are sorted by
+    range; the first of each range goes to all tasks, and a row finds its block among them by bisection.
+    """
+    key = F.struct("doc_id", "_hash", "_tie")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
+    blocks = max(1, -(-docs.count() // block_docs))
+    ranged = rows.select("doc_id", "_hash", "_tie").repartitionByRange(blocks, "doc_id", "_hash", "_tie")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.min(key).alias("first"))
+    bounds = materialise(firsts.agg(F.array_sort(F.collect_list("first")).alias("_bounds")), "bounds")
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(24))])
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get("_bounds", low + step) <= key, low + step).otherwise(low))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("_block", at.cast("long")).drop("_bounds")
+
+
 def with_next(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, text, sketch, next_text, next_sketch): every document beside the next by (doc_id, text); the last beside the first.
+    """(doc_id, text, sketch, next_text, next_sketch): every document beside the next by doc_id, then a hash of the text; the last
+    beside the first.
 
-    Documents are dealt out by ranges of doc_id of about `block_docs` rows, each range ordered on its own, with a copy of the
-    first document of the range that follows; so the texts move once and no task orders all. Uneven ids only make uneven
-    ranges. Null ids come first.
+    Each block is ordered on its own, with a copy of the first document of the block that follows; so the texts move once and no
+    task orders all. Null ids come first.
     """
-    bounds = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high = (bounds["low"], bounds["high"]) if bounds["low"] is not None else (0, 0)
-    width = max(1, -(-(high - low + 1) * block_docs // max(1, bounds["n"])))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(low)))
-    rows = rows.withColumn("_block", F.floor((F.col("_id") - F.lit(low)) / F.lit(width)).cast("long"))
+    rows = with_blocks(docs, block_docs)
     # min() of a struct takes a null id as the smallest, as the order below does.
-    firsts = rows.groupBy("_block").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    firsts = rows.groupBy("_block").agg(F.min(F.struct("doc_id", "_hash", "_tie", "text")).alias("first"))
     order = Window.orderBy("_block")
     before = rows.groupBy("_block").agg(F.max("_block").alias("_b")).select(
         "_block", F.lag("_block").over(order).alias("_to"), F.max("_block").over(Window.orderBy(F.lit(0))).alias("_last"))
     donors = firsts.join(before, "_block").select(
-        F.coalesce("_to", "_last").alias("_block"), F.col("_to").isNull().alias("_wrap"), F.lit(True).alias("_donor"), "first.doc_id", "first.text")
-    own = rows.select("_block", F.lit(False).alias("_wrap"), F.lit(False).alias("_donor"), "doc_id", "text")
+        F.coalesce("_to", "_last").alias("_block"), F.col("_to").isNull().alias("_wrap"), F.lit(True).alias("_donor"), "first.doc_id", "first._hash", "first._tie", "first.text")
+    own = rows.select("_block", F.lit(False).alias("_wrap"), F.lit(False).alias("_donor"), "doc_id", "_hash", "_tie", "text")
     dealt = with_sketch(own.unionByName(donors).repartition("_block"), "text", "sketch")
-    follow = Window.partitionBy("_block").orderBy("_wrap", "_donor", "doc_id", "text")
+    follow = Window.partitionBy("_block").orderBy("_wrap", "_donor", "doc_id", "_hash", "_tie")
     paired = dealt.withColumn("next_text", F.lead("text").over(follow)).withColumn("next_sketch", F.lead("sketch").over(follow))
-    return paired.filter("not _donor").drop("_block", "_wrap", "_donor")
+    return paired.filter("not _donor").drop("_block", "_wrap", "_donor", "_hash", "_tie")
 
 
 def compare_edits(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Per document of `docs` (doc_id, text, ...): its fingerprint, that of its edited text, and how alike they are.
 
     The edited text ends in as many code points of the next document as a quarter of its own (or all that one has). Null
-    texts are empty. Repeated ids are ordered by text. Other columns are ignored.
+    texts are empty. Repeated ids are ordered by a hash of the text. Other columns are ignored.
     """
     rows = with_next(docs, block_docs).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")

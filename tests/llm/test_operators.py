@@ -224,3 +224,12 @@ def test_rare_languages_are_modelled_or_kept(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     out = op8_language_id(spark, str(tmp_path)).filter("page_id is not null").collect()
     assert len(out) == 20 and {r["language"] for r in out} == {"de"}
+
+
+def test_fingerprint_blocks_for_any_ids(spark):
+    ids = [*range(300), 1 << 60, *[None] * 200, *[7] * 100]
+    docs = spark.createDataFrame([(i, f"text {n}" if n % 3 else "same") for n, i in enumerate(ids)], "doc_id long, text string")
+    sizes = [r["count"] for r in syncmers.with_blocks(docs, block_docs=20).groupBy("_block").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 60
+    out = syncmers.compare_edits(docs, block_docs=20).toPandas()
+    assert len(out) == len(ids) and out.near_next.notna().all()
