@@ -10,8 +10,6 @@ from factweave.session import materialise
 
 K = 4
 S = 2
-#: Anchors of a fingerprint: the smallest hashes of all anchors of a text.
-SKETCH = 128
 BLOCK_DOCS = 512
 _HASH_MASK = (1 << 32) - 1
 _START = "\x02"
@@ -47,10 +45,9 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, pos
     return df.withColumn(out, F.transform("_at", anchor)).drop("_h", "_s", "_at")
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH, k: int = K, s: int = S) -> DataFrame:
-    """`df` with `out`: the `size` smallest different anchor hashes of `text`, ascending; all of them if they are fewer."""
-    df = with_anchors(df, text, "_anchors", k, s)
-    return df.withColumn(out, F.slice(F.array_sort(F.array_distinct("_anchors")), 1, size)).drop("_anchors")
+def with_sketch(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """`df` with `out`: the hashes of all anchors of `text`, in order of the text, repeated ones as often as they occur."""
+    return with_anchors(df, text, out, k, s)
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -58,17 +55,14 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
-def with_likeness(df: DataFrame, a: str, b: str, out: str, size: int = SKETCH) -> DataFrame:
-    """`df` with `out`: the share of anchors that the texts behind two sketches have in common (Dice), estimated from the smallest of both.
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """`df` with `out`: the share of different anchors that the texts behind two sketches have in common (Dice), counted in full.
 
     Two texts without anchors are alike (1), one without and one with are not (0).
     """
-    union = F.array_sort(F.array_union(a, b))
-    full = (F.size(a) >= size) | (F.size(b) >= size)
-    df = df.withColumn("_u", F.when(full, F.slice(union, 1, size)).otherwise(union))
-    common = F.size(F.array_intersect(F.col("_u"), F.array_intersect(a, b)))
-    total = F.size("_u")
-    return df.withColumn(out, F.when(total == 0, 1.0).otherwise(2.0 * common / (total + common))).drop("_u")
+    common = F.size(F.array_intersect(a, b))
+    df = df.withColumn("_total", F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
+    return df.withColumn(out, F.when(F.col("_total") == 0, 1.0).otherwise(2.0 * common / F.col("_total"))).drop("_total")
 
 
 def with_blocks(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:

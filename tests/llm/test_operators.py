@@ -233,3 +233,16 @@ def test_fingerprint_blocks_for_any_ids(spark):
     assert sum(sizes) == len(ids) and max(sizes) <= 60
     out = syncmers.compare_edits(docs, block_docs=20).toPandas()
     assert len(out) == len(ids) and out.near_next.notna().all()
+
+
+def test_fingerprints_of_long_texts(spark):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    first, second = (" ".join(f"{name}{i}" for i in range(6000)) for name in ("left", "right"))
+    half = " ".join(WORDS)
+    rows = [(1, f"{first} {passage}"), (2, f"{passage} {second}"), (3, half + " tail " + passage), (4, passage + " tail " + half), (5, half), (6, f"{half} {half}")]
+    out = syncmers.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    sets = {i: {v[at : at + 8] for at in range(0, len(v), 8)} for i, v in out.fingerprint.items()}
+    for i in range(1, 6):
+        assert out.near_next[i] == pytest.approx(2 * len(sets[i] & sets[i + 1]) / (len(sets[i]) + len(sets[i + 1])))
+    assert 0 < out.near_next[1] < 0.05 and len(sets[1]) > 2000
+    assert out.fingerprint[3] != out.fingerprint[4] and out.fingerprint[5] != out.fingerprint[6]
