@@ -25,7 +25,7 @@ ANCHOR = 8
 #: Rows of the sketch, cells of a shard of one row, and cells for each anchor that is counted.
 DEPTH, CELLS, CELLS_PER_ANCHOR = 2, 1 << 20, 4
 #: Words after which a task begins a new part, bytes of text in a block, windows (before any filter) of a bucket.
-PART_WORDS, BLOCK_BYTES, BUCKET_WINDOWS = 1 << 22, 4 << 20, 1 << 21
+PART_WORDS, BLOCK_BYTES, BUCKET_WINDOWS = 1 << 21, 4 << 20, 1 << 19
 #: Longer words, in bytes, are hashed one by one.
 LONG_WORD = 256
 
