@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import ann, chat, langid, lines, mixing, ngram_join, packing, substrings, syncmers, toxicity, warc
+from factweave.llm import ann, centroids, chat, hard_negatives, langid, lines, mixing, ngram_join, packing, substrings, syncmers, toxicity, warc
 from factweave.llm.common import table
 
 
@@ -68,7 +68,16 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc, op3_adaptive_scan, op4_toxicity, op5_source_mixing, op6_line_dedup, op7_chat_formatting, op8_language_id,
-    op9_ngram_jaccard, op10_syncmer_fingerprints, op11_substring_dedup)}
-SQL: dict[str, str] = {"op7_chat_formatting": chat.SQL, "op11_substring_dedup": substrings.SQL}
+    op9_ngram_jaccard, op10_syncmer_fingerprints, op11_substring_dedup, op12_hard_negatives, op13_centroid_clustering)}
+SQL: dict[str, str] = {"op7_chat_formatting": chat.SQL, "op11_substring_dedup": substrings.SQL, "op12_hard_negatives": hard_negatives.SQL,
+                       "op13_centroid_clustering": centroids.SQL}
