@@ -136,6 +136,15 @@ def batch_groups(spark, sf):
     return linkage.group_batch(cands, date.fromisoformat(TODAY))
 
 
+BATCH_GROUPS_SQL = with_sql("v_incident").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _match_sql("a.status = 'under_review'", "b.status = 'under_review'", "b.id < a.id").replace("\n      t AS (", "\n      t AS MATERIALIZED (") + """,
+  n AS MATERIALIZED (SELECT f.id, row_number() OVER (ORDER BY f.id) AS step, coalesce(any_value(o.options), []) AS options FROM f
+    LEFT JOIN (SELECT candidate, list(struct_pack(p := incident, ok := accepted) ORDER BY -score, incident) AS options FROM t GROUP BY candidate) o ON o.candidate = f.id WHERE f.status = 'under_review' GROUP BY f.id),
+  walk AS (SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS candidate, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS leaders
+    UNION ALL SELECT step, id, CASE WHEN best.ok THEN best.p ELSE id END, CASE WHEN best.ok THEN leaders ELSE list_append(leaders, id) END
+    FROM (SELECT n.step, n.id, w.leaders, list_filter(n.options, lambda x: list_contains(w.leaders, x.p))[1] AS best FROM walk w JOIN n ON n.step = w.step + 1))
+  SELECT candidate, leader FROM walk WHERE step > 0"""
+
+
 # ------------------------------------------------------------------------------------------------ scores
 
 
@@ -588,7 +597,7 @@ QUERIES = {
     "dedup_known_lookup": (known_lookup, KNOWN_SQL),
     "link_candidate_pairs": (link_candidates, LINK_CANDIDATES_SQL),
     "link_best_match": (best_match, BEST_MATCH_SQL),
-    "link_batch_groups": (batch_groups, None),
+    "link_batch_groups": (batch_groups, BATCH_GROUPS_SQL),
     "score_severity": (severity, _severity_sql()),
     "score_confidence": (confidence, CONFIDENCE_SQL),
     "score_relevance": (relevance_score, RELEVANCE_SCORE_SQL),
