@@ -13,13 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.config import FUZZY_TITLE_SIMILARITY, FUZZY_WINDOW_SECONDS, TITLE_WINDOW_SECONDS
 from factweave.functions.text import headline_similarity, normalise_text, organisation_name, tokens_of
 from factweave.functions.url import normalise_url, publisher_host
-from factweave.operators.skew import HOT_ROWS, salted_join
+from factweave.operators.skew import HOT_ROWS, salted_join, split_join
 from factweave.session import materialise, spread
 
 REASONS = ("canonical_url", "normalized_url", "content_hash", "title_hash_same_publisher", "fuzzy_syndication")
@@ -79,46 +79,71 @@ def _prefix_length(size: Column, ratio: tuple[int, int]) -> Column:
     return (size - needed + 1).cast("int")
 
 
+def _token_rows(headlines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct token sets (sid, set_id, tokens, n, bits), and one row per token of a set: (sid, token, place, n, bits).
+
+    `place` counts from 0, the rarest token first. `bits` has a bit for each token of the set. Both tables are written; the
+    second holds no arrays.
+    """
+    sid = F.struct(F.xxhash64("set_id").alias("h"), F.xxhash64(F.lit(1), "set_id").alias("l")).alias("sid")
+    bits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda x, t: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
+    sets = headlines.filter(F.size("tokens") > 0).groupBy("set_id").agg(F.first("tokens").alias("tokens"))
+    sets = materialise(sets.select(sid, "set_id", "tokens", F.size("tokens").alias("n"), bits.alias("bits")), "headline-sets")
+    words = sets.select("sid", "n", "bits", F.explode("tokens").alias("token"))
+    frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("_df", "token")) - 1
+    # A token that very many sets share makes a large partition, which adaptive execution splits.
+    rows = words.join(frequency, "token").select("sid", F.xxhash64("token").alias("token"), place.alias("place"), "n", "bits")
+    return sets, materialise(rows, "headline-tokens")
+
+
+def headline_candidates(headlines: DataFrame, rules: DedupRules = DedupRules()) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of set keys that may be similar, the distinct sets they belong to); see `similar_headlines`.
+
+    Of n tokens of the smaller set, `needed` must lie in the larger. Three filters work on rows without token arrays:
+    one of the smaller set's n - needed + 1 rarest tokens is shared (prefix); after the first shared token both have enough tokens
+    left (position); and the smaller set has at most n - needed bits that the larger lacks (sketch). Token and days that meet
+    very often are dealt out to many tasks.
+    """
+    num, den = rules.ratio
+    sets, tokens = _token_rows(headlines)
+    placed = headlines.filter(F.size("tokens") > 0).select(F.struct(F.xxhash64("set_id").alias("h"), F.xxhash64(F.lit(1), "set_id").alias("l")).alias("sid"), "bucket", "fresh").groupBy("sid", "bucket").agg(
+        F.max("fresh").alias("fresh"))
+    rows = materialise(tokens.join(placed, "sid"), "headline-rows")
+    n = F.col("n")
+    large = rows.select("token", F.col("sid").alias("b"), (n - F.col("place")).alias("b_left"), n.alias("m"), F.col("bits").alias("b_bits"), F.col("bucket").alias("b_bucket"), F.col("fresh").alias("b_fresh"))
+    small = rows.filter(F.col("place") < _prefix_length(n, rules.ratio)).select("token", F.col("sid").alias("a"), "n", (n - _prefix_length(n, rules.ratio) + 1).alias("needed"), F.col("bits").alias("a_bits"),
+                                                                              F.col("bucket").alias("a_bucket"), F.col("fresh").alias("a_fresh"))
+
+    def met(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+        both = split_join(many, few, keys, "b", rules.hot_rows)
+        ordered = ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))) & (F.col("a_fresh") | F.col("b_fresh"))
+        lacking = F.bit_count(F.col("a_bits").bitwiseAND(F.bitwise_not(F.col("b_bits"))))
+        return both.filter(ordered & (F.col("b_left") >= F.col("needed")) & (lacking <= n - F.col("needed"))).select("a", "b")
+
+    near = small.filter("a_bucket is not null").withColumn("b_bucket", F.explode(F.array(*[F.col("a_bucket") + d for d in (-1, 0, 1)])))
+    # Only sets without a date meet by token alone; two dated sets never do.
+    parts = [met(large.filter("b_bucket is not null"), near, ["token", "b_bucket"])]
+    undated = rows.filter("bucket is null")
+    if not undated.isEmpty():
+        parts += [met(large, small.filter("a_bucket is null"), ["token"]), met(large.filter("b_bucket is null"), small.filter("a_bucket is not null"), ["token"])]
+    return reduce(DataFrame.unionByName, parts).distinct(), sets
+
+
 def similar_headlines(headlines: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
     """Pairs of distinct token sets whose overlap reaches the ratio of the smaller set and that meet in time.
 
-    Input: one row per (set_id, tokens, bucket, fresh). Identical headlines are one set, so copies make no pairs.
-    The smaller set's rarest tokens are joined to all tokens of the larger: exact, and frequent tokens are probed
-    only by sets that consist of nothing else. `fresh` marks sets of the current batch; two sets of the known pool
-    are not compared.
+    Input: one row per (set_id, tokens, bucket, fresh). Identical headlines are one set, so copies make no pairs. `fresh` marks
+    sets of the current batch; two sets of the known pool are not compared. The tokens of a pair are fetched when it has
+    passed all filters of `headline_candidates`.
     """
     num, den = rules.ratio
-    sets = headlines.select("set_id", "tokens").distinct().filter(F.size("tokens") > 0)
-    words = sets.select("set_id", F.explode("tokens").alias("token"))
-    frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = (
-        salted_join(words, frequency, "token", "set_id", rules.hot_rows)
-        .groupBy("set_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_ranked"))
-        .select("set_id", F.transform("_ranked", lambda s: s["token"]).alias("ordered"))
-    )
-    placed = headlines.filter(F.size("tokens") > 0).select("set_id", "tokens", "bucket", "fresh").join(ranked, "set_id")
-    size = F.size("tokens")
-    large = placed.select(F.explode("ordered").alias("token"), F.col("set_id").alias("b"), F.col("tokens").alias("b_tokens"),
-                          size.alias("m"), F.col("bucket").alias("b_bucket"), F.col("fresh").alias("b_fresh"))
-    small = placed.select(F.explode(F.slice("ordered", F.lit(1), _prefix_length(size, rules.ratio))).alias("token"),
-                          F.col("set_id").alias("a"), F.col("tokens").alias("a_tokens"), size.alias("n"),
-                          F.col("bucket").alias("a_bucket"), F.col("fresh").alias("a_fresh"))
-    ordered_pair = ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))) & (F.col("a_fresh") | F.col("b_fresh"))
-
-    near = small.filter(F.col("a_bucket").isNotNull()).withColumn("b_bucket", F.explode(F.array(*[F.col("a_bucket") + d for d in (-1, 0, 1)])))
-    dated = large.filter(F.col("b_bucket").isNotNull()).join(near, ["token", "b_bucket"])
-    # Only sets without a date meet by token alone; two dated sets never do.
-    any_large = large.join(small.filter(F.col("a_bucket").isNull()), "token")
-    undated_large = large.filter(F.col("b_bucket").isNull()).join(small.filter(F.col("a_bucket").isNotNull()), "token")
-    columns = ["a", "b", "a_tokens", "b_tokens", "n"]
-    candidates = reduce(DataFrame.unionByName, [part.filter(ordered_pair).select(*columns) for part in (dated, any_large, undated_large)])
+    pairs, sets = headline_candidates(headlines, rules)
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("set_id").alias(f"{x}_set"), F.col("tokens").alias(f"{x}_tokens"), F.col("n").alias(f"{x}_n"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return (
-        candidates.filter(shared * den >= F.col("n") * num)
-        .select("a", "b", headline_similarity(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
-        .distinct()
-    )
+    return both.filter(shared * den >= F.col("a_n") * num).select(
+        F.col("a_set").alias("a"), F.col("b_set").alias("b"), headline_similarity(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
 
 
 # ------------------------------------------------------------------------------------------------ cells
