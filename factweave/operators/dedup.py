@@ -13,12 +13,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.config import FUZZY_TITLE_SIMILARITY, FUZZY_WINDOW_SECONDS, TITLE_WINDOW_SECONDS
 from factweave.functions.text import headline_similarity, normalise_text, organisation_name, tokens_of
 from factweave.functions.url import normalise_url, publisher_host
+from factweave.operators.groups import connected
 from factweave.operators.skew import HOT_ROWS, salted_join, split_join
 from factweave.session import materialise, spread
 
@@ -35,6 +37,8 @@ class DedupRules:
     ratio: tuple[int, int] = FUZZY_TITLE_SIMILARITY
     fuzzy: bool = True
     hot_rows: int = HOT_ROWS
+    rounds: int = 3
+    group_rows: int = 1_000_000
 
 
 def with_dedup_keys(articles: DataFrame) -> DataFrame:
@@ -219,15 +223,86 @@ def _time_ok() -> Column:
     return F.col("window").isNull() | F.col("t").isNull() | F.col("kept_t").isNull() | (gap <= F.col("window"))
 
 
-def _kept_of(members: DataFrame) -> DataFrame:
-    """Kept articles a cell offers for comparison: the earliest one of an untimed cell, all (few) of a timed one."""
+def _kept_of(members: DataFrame, known: bool) -> DataFrame:
+    """Kept articles a cell offers for comparison: of an untimed cell the earliest, of a timed one those that no earlier one can stand for.
+
+    A cell is looked at from cells of earlier days, of later days or of the same days. From earlier days an article stands for
+    all that are later in time and in arrival, from later days for all that are earlier in time and later in arrival. What is left is
+    a short staircase on either side. A batch keeps one article of a cell at most, so only `known` articles need it.
+    """
     kept = members.filter(F.col("status") == KEPT)
     timed = F.col("kind").isin("title_name", "title_host", "fuzzy")
     first = kept.filter(~timed).groupBy("cell").agg(F.min("seq").alias("kept_seq"), F.min_by("t", "seq").alias("kept_t"))
-    every = kept.filter(timed).select("cell", F.col("seq").alias("kept_seq"), F.col("t").alias("kept_t"))
+    every = kept.filter(timed).groupBy("cell", "t").agg(F.min("seq").alias("kept_seq")).select("cell", "kept_seq", F.col("t").alias("kept_t"))
+    if known:
+        # At most one row a second and cell, so a partition of these windows is as long as the rule's limit.
+        before, after = (Window.partitionBy("cell").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("kept_t"), F.desc("kept_t")))
+        best = {"_below": F.min("kept_seq").over(before), "_above": F.min("kept_seq").over(after)}
+        dated = every.filter("kept_t is not null").withColumns(best).filter("_below is null or _above is null or kept_seq < _below or kept_seq < _above")
+        every = every.filter("kept_t is null").unionByName(dated.drop(*best))
     return first.unionByName(every)
 
 
+def _ordered_pass(rows: pa.Table) -> pa.Table:
+    """First-wins over one connected group: (seq, status) by arrival, each article against the one kept in every cell it looks at."""
+    kept, out = {}, {}
+    names = ("seq", "t", "cell", "target", "window")
+    held = rows.select(names).sort_by("seq")
+    columns = [held[c].to_pylist() for c in names]
+    at, n = 0, held.num_rows
+    while at < n:
+        seq, t, end, duplicate = columns[0][at], columns[1][at], at, False
+        while end < n and columns[0][end] == seq:
+            target, window = columns[3][end], columns[4][end]
+            if target in kept:
+                other = kept[target]
+                duplicate = duplicate or window is None or t is None or other is None or abs(t - other) <= window
+            end += 1
+        if not duplicate:
+            kept.update((cell, t) for cell in columns[2][at:end])
+        out[seq] = DUPLICATE if duplicate else KEPT
+        at = end
+    return pa.table({"seq": pa.array(out.keys(), pa.int64()), "_new": pa.array(out.values(), pa.string())})
+
+
+def _settled_groups(live: DataFrame, links: DataFrame, most_rows: int) -> DataFrame:
+    """(seq, _new): the verdict of all open articles whose connected group has at most `most_rows` rows of members and links.
+
+    Open articles have no earlier kept one among those they look at, so only open ones matter to each other.
+    """
+    members = live.filter(F.col("status") == OPEN).select("seq", "t", "cell")
+    cells = materialise(members.select("cell").distinct(), "open-cells")
+    between = links.select("cell", "target", "window").join(cells, "cell", "left_semi").join(cells.withColumnRenamed("cell", "target"), "target", "left_semi")
+    between = materialise(between.distinct(), "open-links")
+    node = lambda c: F.xxhash64(c)
+    hubs = members.groupBy("seq").agg(F.min(node("cell")).alias("a"))
+    edges = between.select(node("cell").alias("a"), node("target").alias("b")).unionByName(members.select("seq", node("cell").alias("b")).join(hubs, "seq").select("a", "b"))
+    roots = connected(edges)
+    rows = members.join(between, "cell").withColumn("node", node("cell")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = materialise(rows.select("root", "seq", "t", "cell", "target", "window"), "open-rows")
+    small = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_rows).select("root")
+    return rows.join(small, "root", "left_semi").groupBy("root").applyInArrow(_ordered_pass, "seq bigint, _new string")
+
+
+def _verdicts(live: DataFrame, links: DataFrame, known: bool, rules: DedupRules) -> DataFrame:
+    """(seq, _dup, _wait) of open articles: whether an earlier kept article is a duplicate, whether an earlier open one may be."""
+    waiting = live.filter(F.col("status") == OPEN).groupBy("cell").agg(F.min("seq").alias("open_seq"))
+    state = _kept_of(live, known).withColumn("open_seq", F.lit(None).cast("bigint")).unionByName(
+        waiting.select("cell", F.lit(None).cast("bigint").alias("kept_seq"), F.lit(None).cast("bigint").alias("kept_t"), "open_seq"))
+    seen = links.join(state.withColumnRenamed("cell", "target"), "target").select("cell", "window", "kept_seq", "kept_t", "open_seq").distinct()
+    open_members = live.filter(F.col("status") == OPEN).select("cell", "seq", "t")
+    checks = salted_join(open_members, seen, "cell", "seq", rules.hot_rows, how="left")
+    return checks.groupBy("seq").agg(
+        F.max(F.coalesce((F.col("kept_seq") < F.col("seq")) & _time_ok(), F.lit(False))).alias("_dup"),
+        F.max(F.coalesce(F.col("open_seq") < F.col("seq"), F.lit(False))).alias("_wait"))
+
+
+def _with_verdicts(live: DataFrame, decided: DataFrame) -> DataFrame:
+    """`live` members with their new status, without duplicates."""
+    new = live.join(decided, "seq", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+    return materialise(new.filter(F.col("status") != DUPLICATE), "dedup-round")
+
+
 def first_wins(articles: DataFrame, known: DataFrame | None = None, rules: DedupRules = DedupRules()) -> DataFrame:
     """Verdict per batch article: `seq`, `is_duplicate`, `reason`, `matched_seq`, `similarity`.
 
@@ -235,8 +310,10 @@ def first_wins(articles: DataFrame, known: DataFrame | None = None, rules: Dedup
     and are kept by definition; their `seq` must be below every batch `seq`. All of them take part in
     every rule; to hold the fuzzy rule to articles that share an exact key with the batch, pass `known_articles(batch, history)`.
 
-    Each round decides every article whose earlier neighbours are decided, so the number of rounds is the longest
-    chain of dependent decisions, not the size of a group.
+    Each round decides every article whose earlier neighbours are decided. Copies are settled by the first rounds; what is open
+    after `rules.rounds` are chains of articles that depend on one another. These are cut into connected groups, in a number of steps
+    that follows the logarithm of a chain, and each group is settled by one pass in arrival order. A group of more than
+    `rules.group_rows` rows, too large for one task, goes on with rounds.
     """
     columns = ["seq", "published_at", "canonical_key", "normalized_url", "content_hash", "title_hash", "publisher_key",
                "host_key", "headline_tokens"]
@@ -264,26 +341,22 @@ def first_wins(articles: DataFrame, known: DataFrame | None = None, rules: Dedup
     all_members = members
 
     live = members
-    # Every round decides the earliest open article at least, so this ends however long a chain of copies is.
+    # Every round decides the earliest open article at least, so this ends whatever the groups are.
+    rounds = 0
     while not live.filter(F.col("status") == OPEN).isEmpty():
-        waiting = live.filter(F.col("status") == OPEN).groupBy("cell").agg(F.min("seq").alias("open_seq"))
-        state = _kept_of(live).withColumn("open_seq", F.lit(None).cast("bigint")).unionByName(
-            waiting.select("cell", F.lit(None).cast("bigint").alias("kept_seq"), F.lit(None).cast("bigint").alias("kept_t"), "open_seq"))
-        seen = links.join(state.withColumnRenamed("cell", "target"), "target").select(
-            "cell", "window", "kept_seq", "kept_t", "open_seq").distinct()
-        open_members = live.filter(F.col("status") == OPEN).select("cell", "seq", "t")
-        checks = salted_join(open_members, seen, "cell", "seq", rules.hot_rows, how="left")
-        verdict = checks.groupBy("seq").agg(
-            F.max(F.coalesce((F.col("kept_seq") < F.col("seq")) & _time_ok(), F.lit(False))).alias("_dup"),
-            F.max(F.coalesce(F.col("open_seq") < F.col("seq"), F.lit(False))).alias("_wait"))
-        decided = verdict.select("seq", F.when(F.col("_dup"), F.lit(DUPLICATE)).when(F.col("_wait"), F.lit(OPEN)).otherwise(F.lit(KEPT)).alias("_new"))
-        live = materialise(
-            live.join(decided, "seq", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
-            .filter(F.col("status") != DUPLICATE), "dedup-round")
+        rounds += 1
+        verdict = _verdicts(live, links, known is not None, rules)
+        duplicate = F.when(F.col("_dup"), F.lit(DUPLICATE))
+        if rounds == rules.rounds + 1:
+            # Articles kept last are compared first, so that no open article has an earlier kept one.
+            live = _with_verdicts(live, verdict.filter("_dup").select("seq", duplicate.alias("_new")))
+            live = _with_verdicts(live, _settled_groups(live, links, rules.group_rows))
+        else:
+            live = _with_verdicts(live, verdict.select("seq", duplicate.when(F.col("_wait"), F.lit(OPEN)).otherwise(F.lit(KEPT)).alias("_new")))
 
     # Duplicates are the batch members that are no longer alive; name the earliest kept article they match.
     lost = all_members.filter(F.col("status") == OPEN).join(live.select("seq").distinct(), "seq", "left_anti")
-    offers = links.join(_kept_of(live).withColumnRenamed("cell", "target"), "target")
+    offers = links.join(_kept_of(live, known is not None).withColumnRenamed("cell", "target"), "target")
     rank = F.create_map(*[F.lit(x) for pair in _RANK.items() for x in pair])
     names = F.array(*[F.lit(r) for r in REASONS])
     best = (

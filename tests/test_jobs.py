@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from factweave.config import ScanConfig
 from factweave.operators import alerts, dedup, linkage, runs, store, users
+from factweave.operators.groups import connected
 from factweave.operators.ordered import running_merge, with_previous
 from factweave.operators.skew import salted_join
 from factweave.plans.scan import funnel, scan
@@ -67,15 +68,46 @@ def sequential_first_wins(rows, known=()):
     return out
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 100_000), (2, 5)])
-def test_first_wins_is_the_sequential_rule(spark, seed, hot):
+@pytest.mark.parametrize("seed, rules", [(1, {}), (2, {"hot_rows": 5, "rounds": 0}), (1, {"rounds": 1, "group_rows": 40})])
+def test_first_wins_is_the_sequential_rule(spark, seed, rules):
     df = spark.createDataFrame(articles(150, seed), ARTICLE)
-    got = {r.seq: (r.reason, r.matched_seq) for r in dedup.first_wins(df, rules=dedup.DedupRules(hot_rows=hot)).collect()}
+    got = {r.seq: (r.reason, r.matched_seq) for r in dedup.first_wins(df, rules=dedup.DedupRules(**rules)).collect()}
     assert got == sequential_first_wins([r.asDict() for r in dedup.with_dedup_keys(df).orderBy("seq").collect()])
     # The fixture exercises the rules (content copies occur with the first seed only).
     assert {"fuzzy_syndication", "canonical_url", *(["content_hash"] if seed == 1 else [])} <= {v[0] for v in got.values()}
 
 
+def test_first_wins_of_a_long_chain(spark):
+    """Each article repeats its neighbours only: every second one is kept, and the number of jobs does not follow the chain."""
+    jobs = []
+    for n in (40, 400):
+        rows = [(i, str(i), "fire at rig", f"text {i}", "Alpha", START + timedelta(days=5 * i), f"https://p.example.com/{i}", None) for i in range(n)]
+        df = spark.createDataFrame(rows, ARTICLE)
+        spark.sparkContext.setJobGroup(f"chain {n}", "")
+        got = {r.seq: r.matched_seq for r in dedup.first_wins(df).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain {n}")))
+        assert got == {i: i - 1 if i % 2 else None for i in range(n)}
+    assert jobs[1] < jobs[0] + 60
+
+
+def test_connected_groups(spark):
+    rng = random.Random(9)
+    names = rng.sample(range(10**6), 3000)
+    pairs = list(zip(names[:999], names[1:1000], strict=True)) + [(rng.choice(names[1000:1400]), rng.choice(names[1000:1400])) for _ in range(300)] + [(names[5], names[5])]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(1000):
+        moved = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not moved:
+            break
+    got = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    assert got.keys() == want.keys() and len(set(got.values())) == len(set(want.values())) == len({(got[x], want[x]) for x in want})
+
+
 def test_first_wins_with_history(spark):
     rows = articles(120, 3)
     df = spark.createDataFrame(rows, ARTICLE)
