@@ -61,9 +61,9 @@ def shown(cards: DataFrame) -> DataFrame:
 
 
 PAGE_FILTERS = IncidentFilters(period="last_30_days", severities=("critical", "high"), environments=("offshore", "onshore", "subsea"),
-                               sort="severity_desc", limit=25, cursor=25)
+                               sort="severity_desc", limit=10, cursor=10)
 FACET_FILTERS = IncidentFilters(period="all_time", sectors=("upstream", "midstream"), confidences=("medium", "high"),
-                                countries=("NATION_3", "Nation_7", "nation_11"), operators=("customer#00000000", "#000000012"),
+                                countries=tuple(f"{'NATION' if i % 2 else 'Nation'}_{i}" for i in range(20)), operators=("customer#0000000", "#00000012"),
                                 lifecycle_stages=("drilling", "production", "completion"), process_safety_only=True, min_relevance=20)
 
 
@@ -74,7 +74,7 @@ def feed_page(spark, sf):
 FEED_WHERE = f"""coalesce(incident_date, CAST(first_published_at AS DATE)) BETWEEN {D30} AND DATE '{TODAY}'
   AND severity IN ('critical', 'high') AND environment IN ('offshore', 'onshore', 'subsea')"""
 FEED_PAGE_SQL = inc_sql() + f""" SELECT {CARD_SQL} FROM inc WHERE {FEED_WHERE}
-  ORDER BY {RANK_SQL} DESC, severity_score DESC, inc.incident_date DESC NULLS LAST, id LIMIT 25 OFFSET 25"""
+  ORDER BY {RANK_SQL} DESC, severity_score DESC, inc.incident_date DESC NULLS LAST, id LIMIT 10 OFFSET 10"""
 
 
 def feed_page_totals(spark, sf):
@@ -82,7 +82,7 @@ def feed_page_totals(spark, sf):
 
 
 FEED_TOTALS_SQL = inc_sql() + f""", t AS (SELECT count(*) AS total FROM inc WHERE {FEED_WHERE})
-  SELECT total, CASE WHEN total > 25 AND least(total, 50) < total THEN least(total, 50) END AS next_cursor FROM t"""
+  SELECT total, CASE WHEN total > 10 AND least(total, 20) < total THEN least(total, 20) END AS next_cursor FROM t"""
 
 
 def feed_orders(spark, sf):
@@ -135,8 +135,8 @@ def facet_filters(spark, sf):
 
 
 FACET_SQL = inc_sql() + f""" SELECT id, country, operator, relevance_score FROM inc WHERE oil_gas_sector IN ('upstream', 'midstream') AND confidence IN ('medium', 'high')
-  AND {fold("coalesce(country, '')")} IN ('nation_3', 'nation_7', 'nation_11')
-  AND (contains({fold("coalesce(operator, '')")}, 'customer#00000000') OR contains({fold("coalesce(operator, '')")}, '#000000012'))
+  AND {fold("coalesce(country, '')")} IN ({", ".join(f"'nation_{i}'" for i in range(20))})
+  AND (contains({fold("coalesce(operator, '')")}, 'customer#0000000') OR contains({fold("coalesce(operator, '')")}, '#00000012'))
   AND lifecycle_stage IN ('drilling', 'production', 'completion') AND is_process_safety_event AND relevance_score >= 20"""
 
 SEARCH_TEXT = "pipeline Únit 3 nation_1"
