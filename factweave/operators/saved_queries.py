@@ -72,14 +72,24 @@ def _longest_word(phrase: Column) -> Column:
     return F.array_max(F.transform(pieces, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
+def _probes(tokens: DataFrame, inside: DataFrame) -> DataFrame:
+    """(query_id, needle): of the n tokens of each query, repeats counted, the n // 2 + 1 that the fewest articles can have."""
+    counts = inside.groupBy("needle").agg(F.sum("articles").alias("articles"))
+    of_query = Window.partitionBy("query_id")
+    rare = F.row_number().over(of_query.orderBy(F.coalesce("articles", F.lit(0)), "needle", "place"))
+    ranked = tokens.join(counts, "needle", "left").withColumns({"rare": rare, "n": F.count(F.lit(1)).over(of_query)})
+    return ranked.filter(F.col("rare") <= F.floor(F.col("n") / 2) + 1).select("query_id", "needle").distinct()
+
+
 def percolate(articles: DataFrame, queries: DataFrame, exclude=(), max_results: int | None = None) -> DataFrame:
     """(query_id, article_id, hits, terms) for every saved query an article answers; query ids are unique.
 
     An article answers a query when it contains one of its quoted phrases, or at least half of its tokens as substrings; a
     query without tokens is answered by all. A plan may have any number of queries: a token has no space, so it lies inside one
     word. The different words of all articles meet the different tokens by the first (at most three) characters of the token,
-    and articles meet tokens by word. A phrase is looked up by its longest word and then verified in the text.
-    `max_results` keeps the first articles per query in id order.
+    and articles meet tokens by word. Of n tokens only the rarest n // 2 + 1 are looked up (`_probes`): an article that has none
+    of them has fewer than half. All tokens are counted in the texts of the articles found. A phrase is looked up by its longest
+    word and then verified in the text. `max_results` keeps the first articles per query in id order.
     """
     plan_rows = materialise(_compiled(queries), "percolate-plan")
     text = fold_case(F.concat_ws(" ", "title", F.coalesce("excerpt", F.lit("")), "publisher"))
@@ -89,16 +99,18 @@ def percolate(articles: DataFrame, queries: DataFrame, exclude=(), max_results:
             stream = stream.filter(~F.contains("_text", F.lit(fold_literal(keyword))))
     stream = materialise(stream, "percolate-texts")
 
-    tokens = plan_rows.select("query_id", F.explode("terms").alias("needle"))
+    tokens = plan_rows.select("query_id", F.posexplode("terms").alias("place", "needle"))
     quoted = plan_rows.select("query_id", F.explode("phrases").alias("phrase")).withColumn("needle", _longest_word(F.col("phrase")))
     needles = tokens.select("needle").unionByName(quoted.select("needle")).filter("needle <> ''").distinct().withColumn("gram", F.substring("needle", 1, 3))
     words = stream.select("article_id", F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("word")).filter("word <> ''")
-    vocabulary = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-    inside = vocabulary.join(needles, "gram").filter(F.contains("word", F.col("needle"))).select("word", "needle").distinct()
+    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("articles")).select("word", "articles", F.explode(_grams(F.col("word"))).alias("gram"))
+    inside = vocabulary.join(needles, "gram").filter(F.contains("word", F.col("needle"))).select("word", "articles", "needle").distinct()
     inside = materialise(inside, "percolate-words")
-    seen = materialise(salted_join(words, inside, "word", "article_id").select("article_id", "needle").distinct(), "percolate-seen")
+    probes = materialise(_probes(tokens, inside), "percolate-probes")
+    wanted = probes.select("needle").unionByName(quoted.select("needle")).distinct()
+    seen = materialise(salted_join(words, inside.join(wanted, "needle").select("word", "needle"), "word", "article_id").select("article_id", "needle").distinct(), "percolate-seen")
 
-    hit = salted_join(seen, tokens, "needle", "article_id").select("query_id", "article_id", F.lit(1).alias("hit"), F.lit(False).alias("quoted"))
+    able = salted_join(seen, probes, "needle", "article_id").select("query_id", "article_id", F.lit(False).alias("quoted"))
     asked = salted_join(seen, quoted.filter("needle <> ''"), "needle", "article_id").select("query_id", "article_id", "phrase")
     said = stream.join(asked, "article_id").filter(F.contains("_text", F.col("phrase"))).select("query_id", "article_id")
     # Queries that name nothing to look up are compared with every article, a share of the articles at a time.
@@ -106,11 +118,14 @@ def percolate(articles: DataFrame, queries: DataFrame, exclude=(), max_results:
     blank = blank.select("query_id", "phrases", F.size("terms").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(BLANK_SHARES - 1))).alias("share"))
     shares = stream.withColumn("share", F.pmod(F.xxhash64("article_id"), F.lit(BLANK_SHARES)).cast("int"))
     everyone = shares.join(blank, "share").filter((F.col("n") == 0) | F.exists("phrases", lambda x: F.contains("_text", x)))
-    others = said.unionByName(everyone.select("query_id", "article_id")).select("*", F.lit(0).alias("hit"), F.lit(True).alias("quoted"))
-
-    found = hit.unionByName(others).groupBy("query_id", "article_id").agg(F.sum("hit").alias("hits"), F.max("quoted").alias("quoted"))
-    sizes = plan_rows.select("query_id", F.size("terms").cast("bigint").alias("terms"))
-    matched = found.join(sizes, "query_id").filter("quoted or hits * 2 >= terms").select("query_id", "article_id", "hits", "terms")
+    others = said.unionByName(everyone.select("query_id", "article_id")).withColumn("quoted", F.lit(True))
+
+    pairs = able.unionByName(others).groupBy("query_id", "article_id").agg(F.max("quoted").alias("quoted"))
+    terms = plan_rows.select("query_id", "terms")
+    counted = pairs.join(terms, "query_id").join(stream, "article_id").select(
+        "query_id", "article_id", "quoted", F.size("terms").cast("bigint").alias("terms"),
+        F.size(F.filter("terms", lambda t: F.contains("_text", t))).cast("bigint").alias("hits"))
+    matched = counted.filter("quoted or hits * 2 >= terms").select("query_id", "article_id", "hits", "terms")
     if max_results is None:
         return matched
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("article_id"))
