@@ -66,7 +66,7 @@ def scan(articles: DataFrame, config: ScanConfig, now: datetime, terms: TermList
     """
     if (stored_incidents is None) != (stored_links is None):
         raise ValueError("stored incidents and their stored links are needed together")
-    terms = terms or TermLists.english()
+    terms = terms or TermLists.built_in()
     window = resolve_window(now, config.period)
     c = F.col
 

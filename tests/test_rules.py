@@ -62,6 +62,16 @@ def test_terms_are_a_parameter(spark):
         TermLists(("-oil",), (), (), ())
 
 
+@pytest.mark.parametrize("title, strong", [
+    ("Incêndio na refinaria: vazamento de gás", ["vazamento de gas"]), ("Fuga de gas en el gasoducto, dos heridos", ["fuga de gas"]),
+    ("Fuite de pétrole près du terminal pétrolier", ["fuite de petrole"]), ("Brønnkontroll tapt på boreskip etter utblåsning", ["brønnkontroll", "utblasning"]),
+    ("Arrêt d'urgence: rupture d'oléoduc", ["rupture d'oleoduc", "arret d'urgence"]),
+])
+def test_five_languages(spark, title, strong):
+    row = verdicts(spark, [(title, None, "Paper")])[0]
+    assert row.passed and row.matched_strong_phrases == strong
+
+
 def extract_one(spark, title, excerpt, publisher="Coast Paper"):
     df = spark.createDataFrame([(1, title, excerpt, publisher, datetime(2026, 3, 1, 8))], "id int, title string, excerpt string, publisher string, published_at timestamp_ntz")
     return extract.consequences(extract.extract_incidents(df, ["id"])).first()

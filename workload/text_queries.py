@@ -171,6 +171,11 @@ def _verdict_sql(source: str, terms: TermLists, include=(), exclude=()):
       WHEN NOT ev THEN 'No incident/event terminology found.' ELSE 'Event terminology present but no clear Oil & Gas relation (section 4: "fire"/"explosion" alone is not sufficient).' END AS reason FROM d"""
 
 
+def relevance_languages(spark, sf):
+    """Verdict of every dispatch, in five languages."""
+    return _verdict_columns(relevance.explain_verdict(view(spark, sf, "v_dispatch"), "id"))
+
+
 def classifier(spark, sf):
     """Bulletins through the rules classifier and its gate."""
     judged = relevance.classify_by_rules(relevance.evaluate_relevance(view(spark, sf, "v_bulletin"), **BULLETIN_OPTIONS))
@@ -178,7 +183,8 @@ def classifier(spark, sf):
     return kept.select("id", F.round("classifier_confidence", 6).alias("confidence"), F.col("classifier_sector").alias("sector"))
 
 
-_BULLETIN_SQL = _verdict_sql("v_bulletin", TermLists.english(), **{k.replace("_keywords", ""): v for k, v in BULLETIN_OPTIONS.items()})
+LANGUAGES_SQL = _verdict_sql("v_dispatch", TermLists.built_in())
+_BULLETIN_SQL = _verdict_sql("v_bulletin", TermLists.built_in(), **{k.replace("_keywords", ""): v for k, v in BULLETIN_OPTIONS.items()})
 CLASSIFIER_SQL = f"SELECT id, round(least(0.95, 0.55 + score / 200), 6) AS confidence, sector_hint AS sector FROM ({_BULLETIN_SQL}) WHERE passed"
 
 
@@ -211,7 +217,7 @@ def extraction(spark, sf):
         F.array_join("highlights", "|").alias("highlights"), F.col("incident_date").cast("string").alias("incident_date"))
 
 
-_EX_VERDICT = _verdict_sql("v_bulletin", TermLists.english()).replace("title, coalesce(excerpt, ''), publisher)", "title, coalesce(excerpt, ''), '')").replace("CASE WHEN source_tier <= 2 THEN 4 ELSE 0 END", "0")
+_EX_VERDICT = _verdict_sql("v_bulletin", TermLists.built_in()).replace("title, coalesce(excerpt, ''), publisher)", "title, coalesce(excerpt, ''), '')").replace("CASE WHEN source_tier <= 2 THEN 4 ELSE 0 END", "0")
 
 
 def _extraction_cte():
@@ -240,7 +246,7 @@ def _extraction_cte():
     country = "CASE " + " ".join(f"WHEN {S.found(t, p)} THEN '{n}'" for n, _, p, _ in R.COUNTRIES) + " " + " ".join(f"WHEN {S.found(t, p)} THEN '{n}'" for n, _, _, p in R.COUNTRIES if p) + " END"
     codes = "CASE country " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c, _, _ in R.COUNTRIES) + " END"
     types = ", ".join(f"CASE WHEN {S.found(t, p)} THEN '{v}' END" for v, p in R.INCIDENT_TYPE_RULES)
-    well = " OR ".join(f"contains(t, {S.quote(w)})" for w in TermLists.english().well)
+    well = " OR ".join(f"contains(t, {S.quote(w)})" for w in TermLists.built_in().well)
     return f"""x1 AS (SELECT b.*, v.passed, v.score, v.sector_hint, concat(title, '. ', coalesce(excerpt, '')) AS raw, {S.fold("concat(title, '. ', coalesce(excerpt, ''))")} AS t, {pub} AS pub
       FROM v_bulletin b JOIN verdict v ON b.id = v.id),
     x2 AS (SELECT *, list_filter([{types}], lambda x: x IS NOT NULL) AS kinds, {count('fatalities')} AS fatalities, {count('injuries')} AS injuries, {count('missing_persons')} AS missing_persons,
@@ -460,6 +466,7 @@ QUERIES = {
     "user_identity_keys": (user_keys, USER_KEYS_SQL),
     "scan_publication_window": (publication_window, PUBLICATION_SQL),
     "relevance_bulletins": (relevance_bulletins, _BULLETIN_SQL),
+    "relevance_languages": (relevance_languages, LANGUAGES_SQL),
     "relevance_articles": (relevance_articles, _verdict_sql("v_article", PROSE_TERMS)),
     "relevance_classifier": (classifier, CLASSIFIER_SQL),
     "region_match": (region_match, REGION_SQL),

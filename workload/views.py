@@ -81,6 +81,22 @@ BULLETIN = ("orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nati
     "canonical_url": "CASE WHEN o_orderkey % 11 = 0 THEN concat('https://wire.example.org/', o_orderkey % 4999) END",
 })
 
+_DISPATCHES = (
+    ("Gas leak shuts the tank farm", "en"), ("Quiet day at the harbour", "en"), ("Incêndio em plataforma de produção na bacia de Santos", "pt"), ("Vazamento de gás em refinaria deixa feridos", "pt"),
+    ("Novo poço inaugurado sem cerimônia", "pt"), ("Derrame de petróleo tras la ruptura de oleoducto", "es"), ("Explosión en refinería: dos heridos", "es"), ("Feria de libros en la plaza", "es"),
+    ("Fuite de gaz à la raffinerie, trois blessés", "fr"), ("Éruption de puits au large, évacuation en cours", "fr"), ("Grève dans les transports", "fr"), ("Brann på plattform i Nordsjøen", "no"),
+    ("Gasslekkasje ved brønnhode, granskning varslet", "no"), ("Tap av brønnkontroll på boreskip", "no"), ("Skolen åpner igjen mandag", "no"),
+)
+# One-line reports in five languages.
+DISPATCH = ("orders JOIN customer ON o_custkey = c_custkey", {
+    "id": "o_orderkey",
+    "title": pick([t for t, _ in _DISPATCHES], "o_orderkey + o_custkey * 7"),
+    "language": pick([x for _, x in _DISPATCHES], "o_orderkey + o_custkey * 7"),
+    "excerpt": f"CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE {pick([t for t, _ in _DISPATCHES[::-1]], 'o_custkey * 5 + o_orderkey % 11')} END",
+    "publisher": pick(_PUBLISHERS, "o_orderkey * 5 + o_custkey"),
+    "source_tier": "CAST(1 + o_orderkey % 5 AS INT)",
+})
+
 _TYPES = X.INCIDENT_TYPES
 INCIDENT = ("orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", {
     "id": "o_orderkey",
@@ -234,7 +250,7 @@ PAGE = ("pages", {
     "html": "html",
 })
 
-VIEWS = {"v_article": ARTICLE, "v_bulletin": BULLETIN, "v_incident": INCIDENT, "v_evidence": EVIDENCE, "v_version": VERSION,
+VIEWS = {"v_article": ARTICLE, "v_bulletin": BULLETIN, "v_dispatch": DISPATCH, "v_incident": INCIDENT, "v_evidence": EVIDENCE, "v_version": VERSION,
          "v_state": STATE, "v_call": CALL, "v_device": DEVICE, "v_preference": PREFERENCE, "v_page": PAGE}
 _SPARK = {"ts": "TIMESTAMP_NTZ", "text": "STRING"}
 _DUCK = {"ts": "TIMESTAMP", "text": "VARCHAR"}
