@@ -15,6 +15,7 @@ from factweave.functions.url import normalise_url
 from factweave.operators.skew import keep_first
 from factweave.operators.store import read_current, read_deltas, read_snapshot, write_snapshot
 from factweave.plans.scan import scan
+from factweave.session import materialise
 
 # Room for the articles of one micro-batch in `seq`.
 BATCH_SPAN = 10**12
@@ -50,10 +51,39 @@ def distinct_articles(stream: DataFrame, store: str, checkpoint: str, table: str
 
 
 def daily_counts(stream: DataFrame, time: str, keys: list[str], late: str = "45 days") -> DataFrame:
-    """Tumbling one-day counts; rows later than `late` are dropped with the state they would need."""
+    """Tumbling one-day counts in the state of a stream; rows later than `late` are dropped with it. `count_days` keeps them."""
     return stream.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("day"), *keys).agg(F.count(F.lit(1)).alias("count"))
 
 
+def count_days(stream: DataFrame, time: str, keys: list[str], store: str, checkpoint: str, late: str = "45 days") -> StreamingQuery:
+    """Counts per day and `keys` that lose no row: `counted_days` reads them at any time.
+
+    A batch writes its own counts, no state is held. Days that ended more than `late` before the newest time of earlier batches
+    are closed: rows that come for them go into the table of corrections, so that whoever took over a closed day can see what has
+    changed since. A batch that is repeated writes the same rows again. Rows without a time are counted with a null day.
+    """
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        spark, number = batch.sparkSession, batch_id + 1
+        day = F.to_date(time)
+        rows = materialise(batch.groupBy(day.alias("day"), *keys).agg(F.count(F.lit(1)).alias("count"), F.max(time).alias("newest")), "day-counts")
+        marks = read_deltas(spark, store, "marks", before=number)
+        seen = None if marks is None else marks.agg(F.max("newest")).first()[0]
+        closed = F.lit(False) if seen is None else F.coalesce(F.col("day") + F.expr("INTERVAL 1 DAY") <= F.lit(seen) - F.expr(f"INTERVAL {late}"), F.lit(False))
+        write_snapshot(rows.filter(~closed).drop("newest"), store, "counts", number)
+        write_snapshot(rows.filter(closed).drop("newest"), store, "corrections", number)
+        write_snapshot(rows.agg(F.max("newest").alias("newest")), store, "marks", number)
+
+    return run_available(stream, one_batch, checkpoint)
+
+
+def counted_days(spark: SparkSession, store: str, keys: list[str]) -> DataFrame:
+    """(day, keys, count, corrections): all counts of `count_days`, and how many of them came after the day was closed."""
+    counts, late = (read_deltas(spark, store, name) for name in ("counts", "corrections"))
+    both = counts.select("day", *keys, "count", F.lit(0).alias("late")).unionByName(late.select("day", *keys, "count", F.lit(1).alias("late")))
+    return both.groupBy("day", *keys).agg(F.sum("count").alias("count"), F.sum(F.col("count") * F.col("late")).alias("corrections"))
+
+
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that is there, batch by batch, then stop."""
     query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 """Distributed jobs against sequential Python on small fixtures."""
 
+import gzip
 import json
 import random
 from dataclasses import replace
@@ -17,7 +18,7 @@ from factweave.operators.skew import salted_join
 from factweave.plans.scan import funnel, scan
 from factweave.schemas import raw_article_checks, split_valid
 from factweave.sources import catalogue, feeds, responses, search_api
-from factweave.sources.raw import scan_raw_articles
+from factweave.sources.raw import file_ledger, quarantine, scan_raw_articles
 from factweave.streaming import ingest
 from workload.views import view
 
@@ -237,8 +238,29 @@ def test_raw_files_and_quarantine(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join(json.dumps(x) for x in (ok, {**ok, "url": "ftp://x"}, {**ok, "title": "", "source_tier": 9})) + "\n{broken\n")
     good, bad = scan_raw_articles(spark, str(tmp_path))
     assert good.count() == 1
-    assert sorted(tuple(r.violations) for r in bad.collect())[1:] == [("title", "source_tier"), ("url",)]
+    assert sorted(tuple(r.violations) for r in bad.collect()) == [("broken_line",), ("title", "source_tier"), ("url",)]
     assert split_valid(good, raw_article_checks())[1].isEmpty()
+    lines = "\n".join(json.dumps({**ok, "provider": f"p{i}", "title": f"t {i * 7919 % 1000003}"}) for i in range(3000)).encode()
+    whole = gzip.compress(lines)
+    (tmp_path / "whole 1.json.gz").write_bytes(whole + gzip.compress(b"\n"))
+    (tmp_path / "cut.json.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "none.json.gz").write_bytes(b"no gzip at all")
+    (tmp_path / "empty.json").write_bytes(b"")
+    ledger = {r.path.rpartition("/")[2].replace("%20", " "): (r.status, r.rows, r.broken) for r in file_ledger(spark, str(tmp_path)).collect()}
+    assert ledger["a.json"] == ("read", 3, 1) and "empty.json" not in ledger and ledger["none.json.gz"] == ("unreadable", 0, 0)
+    assert ledger["whole 1.json.gz"][:2] == ("read", 3000) and ledger["cut.json.gz"][0] in ("damaged", "unreadable") and len(ledger) == 4
+    kinds = [(r.kind, r.text) for r in quarantine(spark, str(tmp_path)).collect()]
+    assert sorted(k for k, _ in kinds) == ["file", "file", "line", "record", "record"] and ("line", "{broken") in kinds
+
+
+def test_late_rows_correct_the_counts(spark, tmp_path):
+    days = [("a", datetime(2026, 3, d, 8)) for d in (1, 1, 2, 9)] + [("a", datetime(2026, 3, 20))], [("a", datetime(2026, 3, 1, 23)), ("b", datetime(2026, 3, 19)), ("b", None)]
+    for rows in days:
+        spark.createDataFrame(rows, "kind string, at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = ingest.read_increments(spark, f"{tmp_path}/in", StructType.fromDDL("kind string, at timestamp"), files_per_batch=1)
+    ingest.count_days(stream, "at", ["kind"], f"{tmp_path}/out", f"{tmp_path}/cp", late="2 days")
+    got = {(str(r.day), r.kind): (r["count"], r.corrections) for r in ingest.counted_days(spark, f"{tmp_path}/out", ["kind"]).collect()}
+    assert got == {("2026-03-01", "a"): (3, 1), ("2026-03-02", "a"): (1, 0), ("2026-03-09", "a"): (1, 0), ("2026-03-20", "a"): (1, 0), ("2026-03-19", "b"): (1, 0), ("None", "b"): (1, 0)}
 
 
 def test_store_and_snapshots(spark, tmp_path):

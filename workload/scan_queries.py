@@ -52,6 +52,19 @@ def stream_daily_counts(spark, sf):
 DAILY_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY ALL"
 
 
+def stream_late_counts(spark, sf):
+    """The same counts from six files out of order, some of which come long after their days were closed."""
+    source, store = _folder(spark, "shuffled-events"), _folder(spark, "late")
+    events = table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    # Days 0, 6, 12, ... in one file, days 5, 11, ... in another, the newest days first; files are read in order of their writing.
+    part = F.pmod(F.unix_date(F.to_date("ts")), F.lit(3)) + F.when(F.dayofmonth("ts") <= 15, 3).otherwise(0)
+    for number in range(6):
+        events.filter(part == number).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.read_increments(spark, source, events.schema, files_per_batch=1)
+    ingest.count_days(stream, "ts", ["event_type"], store, _folder(spark, "late-cp"), late="2 days")
+    return ingest.counted_days(spark, store, ["event_type"]).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "count")
+
+
 def stream_distinct_pages(spark, sf):
     """Page URLs that survive exact-key dedup in a stream."""
     schema = table(spark, sf, "pages").schema
@@ -79,6 +92,7 @@ QUERIES = {
     "scan_funnel": (scan_funnel, None),
     "scan_incidents": (scan_incidents, None),
     "stream_daily_counts": (stream_daily_counts, DAILY_SQL),
+    "stream_late_counts": (stream_late_counts, DAILY_SQL),
     "stream_distinct_pages": (stream_distinct_pages, PAGES_SQL),
     "stream_scan": (stream_scan, None),
 }

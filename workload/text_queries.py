@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from factweave.functions import url as U
 from factweave.functions.time import passes_publication_window, resolve_window
 from factweave.operators import extract, provenance, relevance, runs
 from factweave.operators.users import user_uuid
+from factweave.session import checkpoint_root
 from factweave.sources import catalogue, feeds, raw, responses, search_api
 from factweave.terms import TermLists
 from workload import sqlparts as S
@@ -458,6 +460,23 @@ def raw_quarantine(spark, sf):
 RAW_SQL = """SELECT * FROM (SELECT 'provider' AS violation, count(*) FILTER (WHERE o_orderkey % 21 = 0) AS n FROM orders UNION ALL SELECT 'language', count(*) FILTER (WHERE o_orderkey % 8 = 0) FROM orders
   UNION ALL SELECT 'url', count(*) FILTER (WHERE o_orderkey % 12 = 0) FROM orders)"""
 
+def raw_files(spark, sf):
+    """Bulletins as files of JSON lines, some cut off or without a title, read again: what is good, what is in quarantine."""
+    rows = view(spark, sf, "v_bulletin").select("id", F.to_json(F.struct(
+        F.col("id").cast("string").alias("provider"), "publisher", F.when(F.col("id") % 40 == 3, "").otherwise(F.col("title")).alias("title"), "url",
+        F.col("source_tier").alias("source_tier"), F.lit("en").alias("language"))).alias("value"))
+    folder = f"{checkpoint_root(spark)}/factweave/raw-{uuid.uuid4().hex}"
+    rows.select(F.when(F.col("id") % 50 == 7, F.substring("value", 1, 30)).otherwise(F.col("value")).alias("value")).write.text(folder)
+    good, _ = raw.scan_raw_articles(spark, folder)
+    kept = good.select(F.lit("good").alias("kind"), F.col("provider").cast("bigint").alias("id"), F.lit("").alias("violations"))
+    bad = raw.quarantine(spark, folder).select("kind", F.regexp_extract("text", '"provider":"([0-9]+)', 1).cast("bigint").alias("id"), F.array_join("violations", "|").alias("violations"))
+    return kept.unionByName(bad)
+
+
+RAW_FILES_SQL = with_sql("v_bulletin") + """ SELECT CASE WHEN id % 50 = 7 THEN 'line' WHEN id % 40 = 3 THEN 'record' ELSE 'good' END AS kind, id,
+  CASE WHEN id % 50 = 7 THEN 'broken_line' WHEN id % 40 = 3 THEN 'title' ELSE '' END AS violations FROM v_bulletin"""
+
+
 QUERIES = {
     "text_keys": (text_keys, TEXT_KEYS_SQL),
     "text_organisation_names": (organisation_names, ORG_SQL),
@@ -481,4 +500,5 @@ QUERIES = {
     "source_model_responses": (model_responses, RESPONSES_SQL),
     "validation_quarantine": (validation, VALIDATION_SQL),
     "validation_raw_articles": (raw_quarantine, RAW_SQL),
+    "source_raw_files": (raw_files, RAW_FILES_SQL),
 }
