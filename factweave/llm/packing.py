@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import re
 import sys
 import zlib
@@ -41,8 +42,20 @@ _SPACE_RUN = re.compile(r"\s\s")
 _loaded: dict[str, "_Encoder"] = {}
 
 
+def _added_tokens(ranks_file: str) -> dict[str, int]:
+    """Tokens that the tokenizer file beside the ranks takes out of a text before it is cut into words."""
+    try:
+        with open(ranks_file.rpartition(".")[0] + ".json", encoding="utf-8") as described:
+            added = json.load(described).get("added_tokens", [])
+    except FileNotFoundError:
+        return {}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("added tokens that take spaces or whole words are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class _Encoder:
-    """Ids of whole texts, as unsigned 32-bit numbers in little-endian bytes."""
+    """Ids of whole texts, as unsigned 32-bit numbers in little-endian bytes. A text is cut at added tokens, and its parts are encoded alone."""
 
     def __init__(self, ranks_file: str):
         import tiktoken
@@ -52,8 +65,16 @@ class _Encoder:
         self.runs, self.plain = (
             tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             for name, pattern in (("runs", PATTERN), ("plain", PLAIN_PATTERN)))
+        self.added = _added_tokens(ranks_file)
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self._part(text)
+        return b"".join(np.array([self.added[p]], "<u4").tobytes() if p in self.added else self._part(p) for p in self.cut.split(text) if p)
+
+    def _part(self, text: str) -> bytes:
         ids = array.array("I", (self.runs if _SPACE_RUN.search(text) else self.plain).encode_ordinary(text))
         if sys.byteorder == "big":
             ids.byteswap()
