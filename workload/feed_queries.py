@@ -355,10 +355,11 @@ def assembled(spark, sf):
 
 
 def incident_detail(spark, sf):
-    """The whole aggregate of every incident as rows: title, sources, publishers, entities, evidence, user states."""
+    """The whole aggregate of every incident as rows: title, sources, publishers, entities, evidence, highlights, user states."""
     base = view(spark, sf, "v_incident").withColumnRenamed("id", "incident_id")
     sources = dossier.source_rows(view(spark, sf, "v_evidence").distinct(), "incident_id")
-    return provenance.detail_rows(base, "incident_id", sources, current_states(spark, sf))
+    told = provenance.narrative(assembled(spark, sf).filter(F.col("publisher_count").isNotNull()))
+    return provenance.detail_rows(base, "incident_id", sources, current_states(spark, sf), provenance.highlight_rows(told, ["incident_id"]))
 
 
 _SOURCE_CTES = """, e AS (SELECT DISTINCT * FROM v_evidence), ranked AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY source_tier, coalesce(published_at, TIMESTAMP '1970-01-01') DESC, article_id) AS r FROM e),
@@ -372,16 +373,6 @@ def _entities_sql(table: str, key: str) -> str:
     return " UNION ALL ".join(f"SELECT {key}, '{kind}' AS entity_type, {col} AS name FROM {table} WHERE trim({col}) <> ''" for kind, col, _ in provenance.ENTITY_COLUMNS)
 
 
-DETAIL_SQL = with_sql("v_incident", "v_evidence", "v_state") + _STATES_SQL + f""", e AS (SELECT DISTINCT * FROM v_evidence),
-  src AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY source_tier, coalesce(published_at, TIMESTAMP '1970-01-01') DESC, article_id) AS r FROM e)
-  SELECT id AS incident_id, 'incident' AS part, CAST(0 AS BIGINT) AS position, 'title' AS name, title AS value FROM v_incident
-  UNION ALL SELECT incident_id, 'source', r, article_id, publisher FROM src
-  UNION ALL SELECT incident_id, 'publisher', min(r), publisher, CAST(count(*) AS VARCHAR) FROM src GROUP BY incident_id, publisher
-  UNION ALL SELECT id, 'entity', 0, entity_type, name FROM ({_entities_sql('v_incident', 'id')})
-  UNION ALL {" UNION ALL ".join(f"SELECT id, 'evidence', 0, '{c}', CAST({c} AS VARCHAR) FROM v_incident WHERE {c} IS NOT NULL" for c in provenance.EVIDENCE_COLUMNS)}
-  UNION ALL SELECT incident_id, 'state', 0, CAST(user_id AS VARCHAR), state FROM states WHERE incident_id IN (SELECT id FROM v_incident)"""
-
-
 def narrative(spark, sf):
     """Summary and highlights rebuilt from facts and sources, for incidents with sources."""
     out = provenance.narrative(assembled(spark, sf).filter(F.col("publisher_count").isNotNull()))
@@ -402,6 +393,17 @@ def _narrative_sql():
     array_to_string(filled[1:8], '|') AS highlights FROM f"""
 
 
+DETAIL_SQL = with_sql("v_incident", "v_evidence", "v_state") + _STATES_SQL + f""", e AS (SELECT DISTINCT * FROM v_evidence),
+  src AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY source_tier, coalesce(published_at, TIMESTAMP '1970-01-01') DESC, article_id) AS r FROM e)
+  SELECT id AS incident_id, 'incident' AS part, CAST(0 AS BIGINT) AS position, 'title' AS name, title AS value FROM v_incident
+  UNION ALL SELECT incident_id, 'source', r, article_id, publisher FROM src
+  UNION ALL SELECT incident_id, 'publisher', min(r), publisher, CAST(count(*) AS VARCHAR) FROM src GROUP BY incident_id, publisher
+  UNION ALL SELECT id, 'entity', 0, entity_type, name FROM ({_entities_sql('v_incident', 'id')})
+  UNION ALL {" UNION ALL ".join(f"SELECT id, 'evidence', 0, '{c}', CAST({c} AS VARCHAR) FROM v_incident WHERE {c} IS NOT NULL" for c in provenance.EVIDENCE_COLUMNS)}
+  UNION ALL SELECT incident_id, 'highlight', unnest(range(len(h))), NULL, unnest(h) FROM (SELECT incident_id, string_split(highlights, '|') AS h FROM ({_narrative_sql()}))
+  UNION ALL SELECT incident_id, 'state', 0, CAST(user_id AS VARCHAR), state FROM states WHERE incident_id IN (SELECT id FROM v_incident)"""
+
+
 QUERIES = {
     "feed_page": (feed_page, FEED_PAGE_SQL),
     "feed_page_totals": (feed_page_totals, FEED_TOTALS_SQL),
