@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as it takes to be none of the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key() -> list[Column]:
     """A 128-bit key (r1, r2) of doc_id and text, so that rows of different texts differ though they share an id or have none."""
     parts = [F.col(c).cast("string") for c in ("doc_id", "text")]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.common import free_name
 from factweave.session import materialise
 
 #: A language is modelled if it is declared for this many training texts, or in a small table for this share of them.
@@ -104,15 +104,30 @@ def likelihoods(rows: DataFrame, logs: np.ndarray, most: int = MOST_TRIGRAMS) ->
     return rows.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
 
 
-def _softmax(scores: Column, count: int) -> Column:
-    top = F.array_max(scores)
-    parts = F.transform(scores, lambda x: F.exp(x - top))
-    total = reduce(lambda a, b: a + b, [F.get(parts, F.lit(i)) for i in range(count)])
-    return F.transform(parts, lambda x: x / total)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is computed once for a row however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sums(count: int, prefix: str = "s") -> list[str]:
-    return [f"{prefix}{i}" for i in range(count)]
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def _softmax(scores: Column) -> Column:
+    def scaled(parts: Column) -> Column:
+        return _let(_total(parts), lambda total: F.transform(parts, lambda x: x / total))
+
+    def parts_of(s: Column) -> Column:
+        return _let(F.array_max(s), lambda top: _let(F.transform(s, lambda x: F.exp(x - top)), scaled))
+
+    return _let(scores, parts_of)
+
+
+def _summed(parts: DataFrame, *names: str) -> DataFrame:
+    """(names..., s): the sums of `parts` (names..., at, s) by names, as an array over the languages."""
+    sums = parts.groupBy(*names, "at").agg(F.sum("s").alias("s"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "s")))
+    return sums.groupBy(*names).agg(F.transform(in_order, lambda x: x["s"]).alias("s"))
 
 
 def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, accept: float = ACCEPT, host_weight: float = HOST_WEIGHT,
@@ -122,7 +137,8 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, accept: fl
     What the text alone says is summed by declared language, by suffix, by host and by domain. From these sums come the
     chances of a declaration and of a suffix given the language, and a prior of each host that leans on the prior of its domain,
     which leans on that of all rows. Their product with the likelihood of the text is the posterior. Evidence that is null is
-    left out. A text without three bytes has language null and is not accepted, nor is one for which no language is likelier
+    left out. Sums are rows of (evidence, language) and everything after them works on arrays, so the plan is the same for any
+    number of languages. A text without three bytes has language null and is not accepted, nor is one for which no language is likelier
     than none, or whose posterior is below `accept`. Ties go to the language first in order of code points.
     """
     n = len(languages)
@@ -131,43 +147,37 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, accept: fl
     ordered = rows.select(*keys, *[F.col(c).cast("string").alias(c) for c in evidence], "text")
     scored = materialise(likelihoods(ordered, logs), "likelihoods")
     marked = scored.withColumns({c: F.coalesce(c, F.lit("\x00")) for c in evidence})
-    soft = marked.filter("ll[0] != 0").withColumn("p", _softmax(F.col("ll"), n))
-    # Rows with the same evidence are one row from here on, however many they are.
-    combined = soft.groupBy(*evidence).agg(*[F.sum(F.get("p", F.lit(i))).alias(s) for i, s in enumerate(_sums(n))])
-    combined = materialise(combined, "evidence")
-    totals = combined.agg(*[F.sum(s).alias(s) for s in _sums(n)]).first()
-    every = [float(totals[s] or 0.0) for s in _sums(n)]
+    soft = marked.filter("ll[0] != 0").select(*evidence, F.posexplode(_softmax(F.col("ll"))).alias("at", "s"))
+    # Rows with the same evidence are one row for each language from here on, however many they are.
+    combined = materialise(soft.groupBy(*evidence, "at").agg(F.sum("s").alias("s")), "evidence")
+    totals = {r["at"]: r["s"] for r in combined.groupBy("at").agg(F.sum("s").alias("s")).collect()}
+    every = [float(totals.get(i) or 0.0) for i in range(n)]
     whole = sum(every)
-    overall = [(e + smoothing) / (whole + smoothing * n) for e in every]
+    flat = F.lit([(e + smoothing) / (whole + smoothing * n) for e in every])
+    weights = F.lit([e + smoothing * n for e in every])
 
     def given(name: str) -> DataFrame:
         """log P(value | language) by value."""
-        sums = combined.filter(F.col(name) != "\x00").groupBy(name).agg(*[F.sum(s).alias(s) for s in _sums(n)])
-        logs_of = [F.log((F.col(s) + smoothing) / (F.lit(every[i]) + smoothing * n)) for i, s in enumerate(_sums(n))]
-        return sums.select(name, F.array(*logs_of).alias(f"log_{name}"))
-
-    def prior(name: str, parent: list[Column], by: DataFrame) -> DataFrame:
-        total = reduce(lambda a, b: a + b, [F.col(s) for s in _sums(n)])
-        return by.select(name, F.array(*[(F.col(s) + host_weight * parent[i]) / (total + host_weight) for i, s in enumerate(_sums(n))]).alias(f"prior_{name}"))
-
-    by_domain = combined.filter("domain != '\\0'").groupBy("domain").agg(*[F.sum(s).alias(s) for s in _sums(n)])
-    domains = prior("domain", [F.lit(x) for x in overall], by_domain)
-    flat = F.array(*[F.lit(x) for x in overall])
-    by_host = combined.filter("host != '\\0'").groupBy("host", "domain").agg(*[F.sum(s).alias(s) for s in _sums(n)]).join(domains, "domain", "left")
-    by_host = by_host.withColumn("parent", F.coalesce("prior_domain", flat)).drop("prior_domain")
-    hosts = prior("host", [F.get("parent", F.lit(i)) for i in range(n)], by_host.withColumn("host", F.struct("host", "domain")))
-    hosts = hosts.select("host.host", "host.domain", "prior_host")
+        sums = _summed(combined.filter(F.col(name) != "\x00"), name)
+        return sums.select(name, F.zip_with("s", weights, lambda s, w: F.log((s + smoothing) / w)).alias(f"log_{name}"))
+
+    def prior(parent: Column) -> Column:
+        return _let(_total(F.col("s")), lambda total: F.zip_with("s", parent, lambda s, p: (s + host_weight * p) / (total + host_weight)))
+
+    domains = _summed(combined.filter("domain != '\\0'"), "domain").select("domain", prior(flat).alias("prior_domain"))
+    hosts = _summed(combined.filter("host != '\\0'"), "host", "domain").join(domains, "domain", "left")
+    hosts = hosts.select("host", "domain", prior(F.coalesce("prior_domain", flat)).alias("prior_host"))
     looked = marked.select(*evidence).distinct().join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
     looked = looked.join(hosts, ["host", "domain"], "left").join(domains, "domain", "left")
-    neutral = F.array(*[F.lit(0.0)] * n)
-    parts = [F.coalesce("log_declared", neutral), F.coalesce("log_suffix", neutral), F.coalesce("prior_host", "prior_domain", flat)]
-    said = F.array(*[F.get(parts[0], F.lit(i)) + F.get(parts[1], F.lit(i)) + F.log(F.get(parts[2], F.lit(i))) for i in range(n)])
+    neutral = F.array_repeat(F.lit(0.0), n)
+    declared = F.zip_with(F.coalesce("log_declared", neutral), F.coalesce("log_suffix", neutral), lambda a, b: a + b)
+    said = F.zip_with(declared, F.coalesce("prior_host", "prior_domain", flat), lambda a, p: a + F.log(p))
     looked = materialise(looked.select(*evidence, said.alias("said")), "said")
     salted = looked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = marked.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    fused = dealt.join(salted, [*evidence, "_salt"], "left").withColumn("p", _softmax(F.zip_with("ll", "said", lambda a, b: a + b), n))
+    fused = dealt.join(salted, [*evidence, "_salt"], "left").withColumn("p", _softmax(F.zip_with("ll", "said", lambda a, b: a + b)))
     fused = fused.withColumn("posterior", F.array_max("p"))
-    best = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("p", F.col("posterior")).cast("int"))
+    best = F.element_at(F.lit(languages), F.array_position("p", F.col("posterior")).cast("int"))
     fused = fused.withColumn("language", F.when((F.get("ll", F.lit(0)) != 0) & (best != NONE), best))
     return fused.select(*keys, "language", F.when(F.get("ll", F.lit(0)) != 0, F.col("posterior")).otherwise(0.0).alias("posterior"),
                         (F.col("language").isNotNull() & (F.col("posterior") >= accept)).alias("accepted"))
@@ -195,7 +205,7 @@ def page_rows(pages: DataFrame, *keys: Column) -> DataFrame:
 
 
 def row_keys(docs: DataFrame) -> list[Column]:
-    """A 128-bit key of what a decision about a document rests on, so equal rows share it and others do not."""
+    """A 128-bit key (_k1, _k2) of what a decision about a document rests on, so equal rows share it and others do not."""
     parts = [F.col(c).cast("string") for c in ("doc_id", "text", "lang", "source")]
     flagged = [x for p in parts for x in (p.isNull(), p)]
     return [F.xxhash64(F.lit(1), *flagged).alias("_k1"), F.xxhash64(F.lit(2), *flagged).alias("_k2")]
@@ -210,4 +220,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     languages, logs = train(rows.select("text", "declared"))
     rows = rows.withColumn("_modelled", F.col("declared").isNull() | F.col("declared").isin(languages))
     rejected = identify(rows, languages, logs).filter("_modelled and not accepted").select("_k1", "_k2").distinct()
-    return docs.withColumns({name: key for name, key in zip(("_k1", "_k2"), row_keys(docs), strict=True)}).join(rejected, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    keyed = docs.select("*", F.struct(*row_keys(docs)).alias(row))
+    gone = rejected.select(F.struct("_k1", "_k2").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)

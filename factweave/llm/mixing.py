@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factweave.llm.common import running
+from factweave.llm.common import free_name
 from factweave.session import materialise
 
 WEIGHTS = (3, 1, 2)
@@ -82,10 +83,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     """
     own = ["size", "source_size", "target", "repeats"]
     docs = docs.drop(*own)
-    sized = docs.withColumn("size", words(F.col("text")).cast("long")).withColumns({
-        "_class": F.when(F.col("size") > 0, F.floor(F.log2(F.col("size"))).cast("int")).otherwise(-1),
-        "_block": F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(BLOCKS)).cast("int")})
-    entries = materialise(sized.groupBy("source", F.col("_class").alias("size_class"), F.col("_block").alias("block")).agg(F.sum("size").alias("size")), "entries")
+    cell = free_name(docs, "_cell")
+    size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size"))).cast("int")).otherwise(-1)
+    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(BLOCKS)).cast("int")
+    sized = docs.withColumn("size", words(F.col("text")).cast("long")).withColumn(cell, F.struct(size_class.alias("size_class"), block.alias("block")))
+    entries = materialise(sized.groupBy("source", f"{cell}.size_class", f"{cell}.block").agg(F.sum("size").alias("size")), "entries")
     sources = targets(entries.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
     epoch = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = materialise(sources.withColumn("whole", F.floor(epoch).cast("int")).withColumn("fraction", epoch - F.col("whole")), "targets")
@@ -95,8 +97,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     drawn = _drawn(known.filter("fraction > 0"))
     k, d = known.alias("k"), drawn.alias("d")
     plan = k.join(d, F.expr("k.source <=> d.source and k.size_class = d.size_class and k.block = d.block"), "left").select(
-        F.col("k.source").alias("_source"), F.col("k.size_class").alias("_size_class"), F.col("k.block").alias("_of_block"),
+        F.struct("k.source", "k.size_class", "k.block").alias("of"),
         "k.source_size", "k.target", (F.col("k.whole") + F.coalesce("d.extra", F.lit(0))).alias("repeats"))
-    plan = materialise(plan, "repeats")
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_size_class")) & (F.col("_block") == F.col("_of_block")))
-    return joined.select(*docs.columns, *own)
+    plan = materialise(plan, "repeats").alias("p")
+    same = F.expr(f"d.source <=> p.of.source and d.`{cell}`.size_class = p.of.size_class and d.`{cell}`.block = p.of.block")
+    joined = sized.alias("d").join(plan, same)
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], "d.size", "p.source_size", "p.target", "p.repeats")

@@ -246,3 +246,65 @@ def test_fingerprints_of_long_texts(spark):
         assert out.near_next[i] == pytest.approx(2 * len(sets[i] & sets[i + 1]) / (len(sets[i]) + len(sets[i + 1])))
     assert 0 < out.near_next[1] < 0.05 and len(sets[1]) > 2000
     assert out.fingerprint[3] != out.fingerprint[4] and out.fingerprint[5] != out.fingerprint[6]
+
+
+def _plain_languages(rows, languages, logs):
+    """Text likelihoods fused with declaration, suffix, host and domain, row by row: (declared, suffix, host, domain, text) -> posterior."""
+    scores, soft = [], []
+    for *_, text in rows:
+        found = langid._trigrams(text.lower().encode())
+        scores.append(logs[found].sum(0).astype(float) * min(1.0, langid.MOST_TRIGRAMS / max(1, len(found))))
+        p = np.exp(scores[-1] - scores[-1].max())
+        soft.append(p / p.sum())
+    n, every = len(languages), np.sum(soft, 0)
+    overall = (every + 1) / (every.sum() + n)
+
+    def total(at, value):
+        return np.sum([p for p, r in zip(soft, rows, strict=True) if all(r[a] == v for a, v in zip(at, value, strict=True))], 0)
+
+    def prior(sums, parent):
+        return (sums + langid.HOST_WEIGHT * parent) / (sums.sum() + langid.HOST_WEIGHT)
+
+    out = []
+    for row, ll in zip(rows, scores, strict=True):
+        said = ll.copy()
+        for at in (0, 1):
+            if row[at] is not None:
+                said += np.log((total([at], [row[at]]) + 1) / (every + n))
+        domain = overall if row[3] is None else prior(total([3], [row[3]]), overall)
+        said += np.log(domain if row[2] is None else prior(total([2, 3], [row[2], row[3]]), domain))
+        p = np.exp(said - said.max())
+        out.append(p / p.sum())
+    return out
+
+
+@pytest.mark.parametrize("count", [3, 200])
+def test_language_equals_a_plain_version_for_any_number_of_languages(spark, count):
+    rng = np.random.default_rng(count)
+    names = [f"l{i:03d}" for i in range(count)]
+    vocabulary = {name: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(20)] for name in names}
+    rows = []
+    for i in range(max(60, 6 * count)):
+        name = names[i % count]
+        declared, host = (None if i % 7 == 0 else names[(i + 1) % count] if i % 11 == 0 else name), f"h{i % (2 * count)}.d{i % count}.x{i % 5}"
+        rows.append((declared, f"x{i % 5}" if i % 3 else None, host, host.split(".", 1)[1], " ".join(rng.choice(vocabulary[name], 1 + i % 9))))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, declared string, suffix string, host string, domain string, text string")
+    languages, logs = langid.train(df.select("text", "declared"))
+    assert languages == [*names, "und"]
+    want = _plain_languages(rows, languages, logs)
+    for r in langid.identify(df, languages, logs).collect():
+        assert abs(r["posterior"] - want[r["id"]].max()) < 1e-6
+        assert r["language"] is None or want[r["id"]][languages.index(r["language"])] > want[r["id"]].max() - 1e-9
+
+
+def test_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(30))
+    names = ["_row", "r1", "r2", "key", "_cell", "_copy", "_k1", "_k2", "_source", "_class", "_block", "size_class", "of"]
+    rows = [(i, text if i < 3 else f"{text} own{i}\nline {i} of its own", "en", "s", 0, *[f"{i}-{n}" for n in names]) for i in range(8)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"{n} string" for n in names]]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(r[n] == f"{r['doc_id']}-{n}" for r in got for n in names)
