@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import langid, lines, mixing, ngram_join, packing
-from factweave.llm.common import row_key, table
+from factweave.llm.common import free_name, row_key, table
 from factweave.llm.queries import tokenizer
 from factweave.session import materialise
 
@@ -30,21 +30,22 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Only documents that go are looked up, by a key of doc_id and text. Documents without words are no copies of one another and all stay.
     """
-    found = ngram_join.grouped(docs)
-    keyed = docs.select("*", *row_key())
-    gone = found.filter("not stays").select("r1", "r2").distinct()
-    left = keyed.join(gone, ["r1", "r2"], "left_anti").select(*keyed.columns)
-    twice = found.filter("stays and copies > 1").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("r1", "r2")
+    found = ngram_join.grouped(docs).withColumn("key", F.struct("r1", "r2"))
+    row = free_name(docs, "_row")
+    keyed = docs.select("*", F.struct(*row_key()).alias(row))
+    gone = found.filter("not stays").select(F.col("key").alias(row)).distinct()
+    left = keyed.join(gone, row, "left_anti")
+    twice = found.filter("stays and copies > 1").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias(row))
     if twice.isEmpty():
         return left.select(*docs.columns)
-    once = left.join(twice, ["r1", "r2"], "left_anti")
-    return once.select(*docs.columns).unionByName(left.join(twice, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select(*docs.columns))
+    once = left.join(twice, row, "left_anti")
+    return once.select(*docs.columns).unionByName(left.join(twice, row, "left_semi").dropDuplicates([row]).select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, which may be never."""
     mixed = mixing.mix(docs).filter("repeats > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    return mixed.withColumn(free_name(mixed, "_copy"), F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
