@@ -391,3 +391,14 @@ def test_update_counts_all_articles_and_keeps_status(spark, small, tmp_path):
         ingest.scan_batches(ingest.read_increments(spark, source, shape), store, str(tmp_path / "cp"), config, now)
     last = read_current(spark, store, "incidents", "incident_id").collect()
     assert [(r.incident_id, r.source_count, r.status, r.highest_source_tier, r.fatalities) for r in last] == [(1, 2, "updated", 1, 3)]
+
+
+
+def test_feed_page_has_cards_11_to_50(spark, small, monkeypatch):
+    from workload import feed_queries
+
+    one = feed_queries.incidents(spark, small).limit(1).drop("id").withColumns({
+        "incident_date": F.lit("2001-07-30").cast("date"), "severity": F.lit("high"), "environment": F.lit("subsea"), "severity_score": F.lit(5)})
+    many = one.crossJoin(spark.range(60))
+    monkeypatch.setattr(feed_queries, "incidents", lambda *_: many)
+    assert [r["id"] for r in feed_queries.feed_page(spark, small).collect()] == list(range(10, 50))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,13 +69,14 @@ FACET_FILTERS = IncidentFilters(period="all_time", sectors=("upstream", "midstre
 
 
 def feed_page(spark, sf):
-    return shown(page_plans.feed_page(incidents(spark, sf), PAGE_FILTERS, NOW_DT))
+    """Cards 11 to 50."""
+    return shown(page_plans.feed_page(incidents(spark, sf), replace(PAGE_FILTERS, limit=40), NOW_DT))
 
 
 FEED_WHERE = f"""coalesce(incident_date, CAST(first_published_at AS DATE)) BETWEEN {D30} AND DATE '{TODAY}'
   AND severity IN ('critical', 'high') AND environment IN ('offshore', 'onshore', 'subsea')"""
 FEED_PAGE_SQL = inc_sql() + f""" SELECT {CARD_SQL} FROM inc WHERE {FEED_WHERE}
-  ORDER BY {RANK_SQL} DESC, severity_score DESC, inc.incident_date DESC NULLS LAST, id LIMIT 10 OFFSET 10"""
+  ORDER BY {RANK_SQL} DESC, severity_score DESC, inc.incident_date DESC NULLS LAST, id LIMIT 40 OFFSET 10"""
 
 
 def feed_page_totals(spark, sf):
