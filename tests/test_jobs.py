@@ -402,3 +402,15 @@ def test_feed_page_has_cards_11_to_50(spark, small, monkeypatch):
     many = one.crossJoin(spark.range(60))
     monkeypatch.setattr(feed_queries, "incidents", lambda *_: many)
     assert [r["id"] for r in feed_queries.feed_page(spark, small).collect()] == list(range(10, 50))
+
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from workload import scan_queries
+
+    pages = [(i, f"https://Host{i % 7}.example.com/p?b=2&utm_source=x", "<p></p>") for i in range(20)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    assert scan_queries.stream_distinct_pages(spark, str(tmp_path)).count() == 7
+    events = [("view", datetime(2024, 1, 1 + i % 3)) for i in range(9)]
+    spark.createDataFrame(events, "event_type string, ts timestamp_ntz").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["count"] for r in scan_queries.stream_daily_counts(spark, str(tmp_path)).collect()] == [3, 3, 3]

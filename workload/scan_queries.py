@@ -38,10 +38,14 @@ def _folder(spark, name):
     return f"{checkpoint_root(spark)}/factweave/{name}-{uuid.uuid4().hex}"
 
 
+def _increments(spark, sf, name):
+    """A driver table, a file or a folder of files, as a stream. A pattern finds either by its name."""
+    return ingest.read_increments(spark, f"{sf.rstrip('/')}/{name}.parque[t]", table(spark, sf, name).schema)
+
+
 def stream_daily_counts(spark, sf):
     """Events per day and type, counted by a stream that reads the table incrementally."""
-    schema = table(spark, sf, "events").schema
-    stream = ingest.read_increments(spark, sf, schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = _increments(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = _folder(spark, "daily")
     ingest.run_available(ingest.daily_counts(stream, "ts", ["event_type"]), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), _folder(spark, "daily-cp"), "update")
     # A window's newest count replaces the ones of earlier batches.
@@ -67,8 +71,7 @@ def stream_late_counts(spark, sf):
 
 def stream_distinct_pages(spark, sf):
     """Page URLs that survive exact-key dedup in a stream."""
-    schema = table(spark, sf, "pages").schema
-    stream = ingest.read_increments(spark, sf, schema, pattern="pages.parquet").select(
+    stream = _increments(spark, sf, "pages").select(
         "url", F.lit(None).cast("string").alias("canonical_url"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("published_at"))
     store = _folder(spark, "pages")
     ingest.distinct_articles(stream, store, _folder(spark, "pages-cp"))
