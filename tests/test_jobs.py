@@ -414,3 +414,13 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     events = [("view", datetime(2024, 1, 1 + i % 3)) for i in range(9)]
     spark.createDataFrame(events, "event_type string, ts timestamp_ntz").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert [r["count"] for r in scan_queries.stream_daily_counts(spark, str(tmp_path)).collect()] == [3, 3, 3]
+
+
+
+def test_costly_rows_are_spread_whatever_the_splits(spark, tmp_path, monkeypatch):
+    from factweave import session
+
+    spark.range(50_000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    monkeypatch.setattr(session, "SPREAD_BYTES_PER_CORE", 1 << 13)
+    rows = session.spread(spark.read.parquet(f"{tmp_path}/one"))
+    assert rows.count() == 50_000 and rows.rdd.getNumPartitions() > 8
