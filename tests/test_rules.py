@@ -1,10 +1,14 @@
 """Relevance, extraction, scores and changes on small hand-written rows."""
 
+import random
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from factweave import rules as R
+from factweave.functions import text as T
 from factweave.operators import changes, extract, relevance, scoring
 from factweave.terms import TermLists
 
@@ -164,3 +168,18 @@ def test_not_material(spark):
     assert change(spark, {}, {"severity_score": 34}).changes == []
     assert change(spark, {}, {"fatalities": 0}).changes == []
     assert change(spark, {}, {"severity_score": 50}).changes == ["severity_increased", "major_escalation"]
+
+
+def test_needed_words_never_hide_a_match(spark):
+    """Texts made of pieces of the patterns: `matches` finds what the bare pattern finds, and nearly every pattern tells words."""
+    patterns = [p for *_, ps in R.EXCLUSION_DOMAINS for p in ps] + [*R.ANCHORS] + [p for _, p in R.INCIDENT_TYPE_RULES + R.WELL_INTEGRITY_RULES + R.INSTALLATION_RULES]
+    patterns += [p for c in R.COUNTRIES for p in c[2:] if p] + [p for ps in R.CASUALTY_PATTERNS.values() for p in ps] + [*R.NO_CASUALTY_PATTERNS.values(), R.BLOCK, R.WELL_NUMBER, r"a|b\w+", r"(?:ab)?c", r"x{0,2}yz"]
+    rng = random.Random(3)
+    parts = sorted({w for p in patterns for w in re.findall(r"[A-Za-z0-9]+(?: [a-z]+)*", p)})
+    texts = [(" ".join(rng.choices(parts, k=6)) * rng.choice([1, 1, 0]),) for _ in range(150)] + [(t.upper(),) for t in ("3 workers killed", "no injuries", "block 22/4b")] + [(None,)]
+    df = spark.createDataFrame(texts, "t string")
+    differ = [F.count_if(~T.matches(F.col("t"), p).eqNullSafe(F.col("t").rlike(p))).alias(str(i)) for i, p in enumerate(patterns)]
+    assert set(df.agg(*differ).first()) == {0}
+    assert sum(bool(T.needed_words(p)[0]) for p in patterns) >= 0.95 * len(patterns)
+    assert T.needed_words(r"(?i)\bno (injuries|one was (injured|hurt))\b") == (("injuries", "one was "), True)
+    assert T.needed_words(r"\w+") == ((), False) and T.needed_words(r"\p{L}+ab") == ((), False)
