@@ -424,3 +424,20 @@ def test_costly_rows_are_spread_whatever_the_splits(spark, tmp_path, monkeypatch
     monkeypatch.setattr(session, "SPREAD_BYTES_PER_CORE", 1 << 13)
     rows = session.spread(spark.read.parquet(f"{tmp_path}/one"))
     assert rows.count() == 50_000 and rows.rdd.getNumPartitions() > 8
+
+
+def test_fan_out_writes_no_pairs(spark, small, monkeypatch):
+    """The same messages whether notified users travel with an alert or are joined; no table of pairs is written."""
+    from workload.link_queries import _alert_rows, _history, _preferences
+
+    written, write = [], alerts.materialise
+    monkeypatch.setattr(alerts, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    rows, devices, history = _alert_rows(spark, small).filter("incident_id < 600"), view(spark, small, "v_device"), _history(spark, small)
+
+    def messages():
+        return sorted(map(str, alerts.fan_out(rows, devices, _preferences(spark, small), history, ["seq"]).collect()))
+
+    want = messages()
+    assert want and not any({"token", "incident_id"} <= set(df.columns) for df in written)
+    monkeypatch.setattr(alerts, "SEEN_USERS", 0)
+    assert messages() == want
