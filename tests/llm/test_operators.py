@@ -355,3 +355,23 @@ def test_a_block_of_unlike_lines_is_narrowed(spark):
         lines.materialise = write
     assert alone <= gone <= set(range(30, 60)) and len(alone) > 20
     assert all(df.filter("meets").groupBy("key", "uid").count().filter("count > 1").isEmpty() for name, df in met if name == "met")
+
+
+def test_candidates_unlike_the_first_of_their_blocks_meet(spark):
+    """Lines of the same words share all blocks; with the same first and last words too, only a comparison of each with each finds its copy."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(24)]
+    orders = [[words[0], words[1], *rng.permutation(words[2:-2]), words[-2], words[-1]] for _ in range(30)]
+    texts = [" ".join(order) for order in [*orders, *[[*order[:12], order[11], *order[12:]] for order in orders]]]
+    gone = {r["doc_id"] for r in lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r["removed"]}
+    assert gone == set(range(30, 60))
+
+
+def test_a_block_of_connected_lines_meets_its_others_only(spark):
+    """One group of copies and a pair unlike it in every block: the pairs are those with a line of the pair."""
+    met = spark.createDataFrame([(7, uid, 100, 5, 0, False) for uid in range(100)] + [(7, 100 + i, 100, 5, 0, True) for i in range(2)],
+                                "key long, uid long, len int, sim long, first long, meets boolean")
+    met = met.withColumn("key", lines.block_keys(met["sim"])[0])
+    roots = spark.createDataFrame([(uid, 0) for uid in range(100)], "node long, root long")
+    pairs = {tuple(r) for r in lines._unconnected(met, roots, lines.SIMILARITY).collect()}
+    assert pairs == {(a, b) for b in (100, 101) for a in range(1, b)}
