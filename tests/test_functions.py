@@ -112,3 +112,15 @@ def test_labels_and_keys(spark):
     key = one(spark, user_uuid(c()), x="device:1")
     assert key[14] == "5" and key[19] in "89ab" and len(key) == 36
     assert one(spark, user_uuid(c()), x=key.upper()) == key
+
+
+def test_trigrams_bind_their_text(spark):
+    """The padded text is computed once for each side, not once for every window; results are those of plain windows."""
+    assert str(T.trigram_similarity(c("x"), c("y"))._jc).count("regexp_replace") == 2
+    for x, y in (("Fire  at\trig", "fire at the RIG"), ("", "a"), ("", ""), ("é", "éé"), (" ", "fire"), ("abc", "xyz")):
+        grams = [{p[i:i + 3] for i in range(len(p) - 2)} for p in (f" {' '.join(t.lower().split())} " for t in (x, y))]
+        assert set(one(spark, T.trigrams(c()), x=x)) == grams[0]
+        union = grams[0] | grams[1]
+        assert one(spark, T.trigram_similarity(c("x"), c("y")), x=x, y=y) == pytest.approx(len(grams[0] & grams[1]) / len(union) if union else 1.0)
+    missing = spark.sql("SELECT CAST(NULL AS STRING) AS x, 'fire' AS y").select(T.trigrams(c()).alias("t"), T.trigram_similarity(c("x"), c("y")).alias("s"), T.trigram_similarity(c("y"), c("x")).alias("r")).first()
+    assert tuple(missing) == (None, None, None)
