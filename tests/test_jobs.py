@@ -460,3 +460,28 @@ def test_repeated_sources_are_found_where_they_are_numbered(spark, tmp_path):
     for df in (dossier.source_rows(articles, "incident_id", distinct=True), best(articles, distinct=True)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "url" in line]
+
+
+def test_dossier_texts_are_computed_once(spark):
+    """A field's text stands once in the plan; empty, unknown and missing values are told apart by the kind of field."""
+    from factweave.operators import dossier
+
+    schema = "id long, incident_date date, incident_time string, country string, operator string, incident_type string, well_type string, fatalities int, fire boolean, hydrocarbon_release boolean, city string, region string, severity string, severity_score int, highest_source_tier int"
+    df = spark.createDataFrame([(1, date(2024, 1, 5), "unknown", "unknown", "", "gas_leak", None, 0, True, False, "", "North", "high", 70, 2),
+                                (2, None, "", None, "Vega", "unknown", "", None, None, None, None, None, "low", None, None)], schema)
+    rows = {(r["id"], r["label"]): (r["section"], r["position"], r["value"], r["known"]) for r in dossier.field_rows(df).collect()}
+    assert rows[1, "Incident Date"] == ("overview", 1, "05 Jan 2024", True) and rows[2, "Incident Date"] == ("overview", 1, "Date not reported", True)
+    assert (1, "Incident Time") not in rows and (2, "Incident Time") not in rows and rows[1, "Country"] == ("overview", 4, "Not reported", False)
+    assert rows[1, "Operator"][2:] == ("Not reported", False) and rows[2, "Operator"][2:] == ("Vega", True)
+    assert rows[2, "Incident Type"][2:] == ("Unknown", True) and rows[2, "Well Type"][2:] == ("Not reported", True) and (1, "Well Type") not in rows
+    assert rows[1, "Fatalities"] == ("consequences", 27, "0", True) and rows[2, "Fatalities"][2:] == ("Not reported", False)
+    assert rows[1, "Hydrocarbon Release"][2:] == ("No", True) and rows[1, "Location"][2:] == ("North", True) and (2, "Location") not in rows
+    assert rows[1, "Severity"][2].startswith("High (70/100)") and rows[2, "Severity"][3] is False and rows[2, "Relevance Score"][3] is False
+    assert dossier.field_rows(df, only_known=False).count() == 2 * sum(len(group) for _, group in dossier.SECTIONS)
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = dossier.field_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("date_format(") == 1 and plan.count("split(incident_type") == 1
