@@ -485,3 +485,25 @@ def test_dossier_texts_are_computed_once(spark):
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", before)
     assert plan.count("date_format(") == 1 and plan.count("split(incident_type") == 1
+
+
+def test_entity_names_are_normalised_only_where_asked_for(spark, small, monkeypatch):
+    """Entities read without their normalised names cost no normalisation; the incident detail finds repeated evidence and numbers sources once."""
+    from factweave.operators import provenance
+    from workload import feed_queries
+
+    names = [column for _, column, _ in provenance.ENTITY_COLUMNS]
+    df = spark.createDataFrame([(1, "Vega Oil, Inc.", "Unit-7", " "), (2, None, None, "MV 3")], "id long, operator string, asset string, vessel string")
+    df = df.select("*", *[F.lit(None).cast("string").alias(n) for n in names if n not in df.columns])
+    rows = provenance.entity_rows(df, ["id"])
+    assert sorted(map(tuple, rows.collect())) == [(1, "asset", "Unit-7", "unit 7"), (1, "operator", "Vega Oil, Inc.", "vega oil"), (2, "vessel", "MV 3", "mv 3")]
+    plan = rows.select("id", "entity_type", "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "lower(" not in plan
+
+    written = []
+    once = lambda df, name: (written.append(name), df.localCheckpoint())[1]
+    monkeypatch.setattr(feed_queries, "materialise", once, raising=False)
+    detail = feed_queries.incident_detail(spark, small)
+    assert written == ["evidence", "numbered-sources"]
+    plan = detail._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "url" in line]
