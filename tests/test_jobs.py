@@ -507,3 +507,18 @@ def test_entity_names_are_normalised_only_where_asked_for(spark, small, monkeypa
     assert written == ["evidence", "numbered-sources"]
     plan = detail._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "url" in line]
+
+
+def test_candidate_classes_hold_the_same_pairs(spark):
+    """Classes stand for all pairs, with dates or countries missing on either side, and copies of records add members, not pairs."""
+    df = spark.createDataFrame(facts(80, 5), FACT)
+    copies = df.unionByName(df.withColumn("id", F.concat("id", F.lit("b"))))
+    at, seen = F.lit(date(2026, 3, 10)), []
+    for rows in (df, copies):
+        new, old = (linkage.stored_facts(rows.filter(f"position % 2 = {i}"), "id", "position") for i in (0, 1))
+        pairs, lefts, rights = linkage.candidate_classes(new, old, at)
+        want = sorted(tuple(r) for r in linkage.candidate_pairs(new, old, at).select("a.key", F.col("b.key").alias("k")).collect())
+        got = pairs.join(lefts, "a_class").join(rights, "b_class").select("a.key", F.col("b.key").alias("k"))
+        assert sorted(tuple(r) for r in got.collect()) == want and want
+        seen.append((pairs.count(), len(want)))
+    assert seen[1] == (seen[0][0], 4 * seen[0][1])
