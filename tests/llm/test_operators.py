@@ -375,3 +375,20 @@ def test_a_block_of_connected_lines_meets_its_others_only(spark):
     roots = spark.createDataFrame([(uid, 0) for uid in range(100)], "node long, root long")
     pairs = {tuple(r) for r in lines._unconnected(met, roots, lines.SIMILARITY).collect()}
     assert pairs == {(a, b) for b in (100, 101) for a in range(1, b)}
+
+
+def test_lines_of_one_block_meet_only_if_their_characters_allow_it(spark):
+    """Two lines that share all blocks and have one length, but other characters, are no pair; the bound never parts similar ones."""
+    met = spark.createDataFrame([(uid, 40, 5, 0, False) for uid in range(1, 41)], "uid long, len int, sim long, first long, meets boolean")
+    met = met.withColumn("key", lines.block_keys(met["sim"])[0])
+    texts = spark.createDataFrame([(uid, ("etaoinsr" if uid % 2 else "vwxyzhld") * 5) for uid in range(1, 41)], "uid long, norm string")
+    texts = texts.select("uid", "norm", *lines._counts(texts["norm"]))
+    alone = spark.createDataFrame([], "node long, root long")
+    pairs = {tuple(r) for r in lines._unconnected(met, alone, lines.SIMILARITY, texts).collect()}
+    assert pairs == {(a, b) for b in range(1, 41) for a in range(1, b) if (a - b) % 2 == 0}
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdest é漢9"), rng.integers(0, 30))) for _ in range(60)] + ["e" * 300, "e" * 290 + "t" * 20, ""]
+    both = spark.createDataFrame([(a, b, _distance(a, b)) for a in words for b in words], "a string, b string, d int")
+    both = both.select("d", *[c.alias(f"{x}{c_}") for x in "ab" for c, c_ in zip(lines._counts(both[x]), ("c0", "c1"), strict=True)])
+    assert both.filter(lines._edits("a", "b") > both["d"] * 2).isEmpty()
+    assert not both.filter(lines._edits("a", "b") == both["d"] * 2).filter("d > 5").isEmpty()
