@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+from collections import Counter
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 
@@ -522,3 +523,36 @@ def test_candidate_classes_hold_the_same_pairs(spark):
         assert sorted(tuple(r) for r in got.collect()) == want and want
         seen.append((pairs.count(), len(want)))
     assert seen[1] == (seen[0][0], 4 * seen[0][1])
+
+
+def order_tables(spark, path, orders, customers=((1, "Alpha", 0, "BUILDING"),)):
+    """The tables of `v_incident`: orders as (key, customer, status, date, priority), customers as (key, name, nation, segment); two nations."""
+    spark.createDataFrame([(k, c, status, 1000.0, day, priority) for k, c, status, day, priority in orders],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(k, name, nation, 1.0, segment) for k, name, nation, segment in customers],
+                          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{path}/customer.parquet")
+    spark.createDataFrame([(0, "NATION_0", 0), (1, "NATION_1", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{path}/nation.parquet")
+    spark.createDataFrame([(0, "REGION")], "r_regionkey int, r_name string").write.parquet(f"{path}/region.parquet")
+    return str(path)
+
+
+def same_as_sql(spark, path, name, tables=("orders", "customer", "nation", "region")):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tools.check import norm
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    df, rel = entry.queries()[name](spark, path), con.sql(entry.oracle_sql()[name])
+    rows = df.collect()
+    assert Counter(tuple(norm(r[c]) for c in rel.columns) for r in rows) == Counter(tuple(map(norm, r)) for r in rel.fetchall())
+    return rows
+
+
+def test_alerts_of_all_runs(spark, tmp_path):
+    """Messages of old and of undated runs too (key 23 has no date), not of the last months only."""
+    days = [datetime(1995, 3, 1), datetime(2001, 7, 1), datetime(1998, 1, 1)]
+    path = order_tables(spark, tmp_path, [(k, 1, "F", days[i], "1-URGENT") for i, k in enumerate((5, 7, 23))])
+    assert {r["run_id"] for r in same_as_sql(spark, path, "alert_messages")} == {"1995-03-01", "2001-07-01", "undated"}
