@@ -556,3 +556,13 @@ def test_alerts_of_all_runs(spark, tmp_path):
     days = [datetime(1995, 3, 1), datetime(2001, 7, 1), datetime(1998, 1, 1)]
     path = order_tables(spark, tmp_path, [(k, 1, "F", days[i], "1-URGENT") for i, k in enumerate((5, 7, 23))])
     assert {r["run_id"] for r in same_as_sql(spark, path, "alert_messages")} == {"1995-03-01", "2001-07-01", "undated"}
+
+
+def test_incidents_meet_the_next_one_in_their_country(spark, tmp_path):
+    """Next by id in the country, however far the ids are apart; incidents without a country (29, 58) are a group of their own."""
+    customers = [(1, "Alpha", 0, "BUILDING"), (2, "Beta", 1, "BUILDING")]
+    day = datetime(2000, 1, 1)
+    path = order_tables(spark, tmp_path, [(k, c, "F", day, "1-URGENT") for k, c in [(1, 1), (2, 2), (3, 1), (26, 2), (29, 1), (58, 2), (900, 1), (900, 1), (10**12, 2), (10**12 + 1, 1)]], customers)
+    rows = same_as_sql(spark, path, "text_similarity")
+    assert sorted(r["id"] for r in rows) == [1, 2, 3, 26, 29, 900, 900]
+    assert [r["trigram"] for r in rows if r["id"] == 900].count(1.0) == 1
