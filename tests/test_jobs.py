@@ -566,3 +566,67 @@ def test_incidents_meet_the_next_one_in_their_country(spark, tmp_path):
     rows = same_as_sql(spark, path, "text_similarity")
     assert sorted(r["id"] for r in rows) == [1, 2, 3, 26, 29, 900, 900]
     assert [r["trigram"] for r in rows if r["id"] == 900].count(1.0) == 1
+
+
+def _alert_case(spark):
+    """Alerts of three incidents, 40 devices of three kinds of preferences (some without a user, one user with two), and a history."""
+    kinds = [("new_incident", 0), ("material_update", 1)]
+    rows = [(f"day {i % 2}", i, kind, f"f{i}{kind}", s, f"Incident {i}", None, "N" if i % 2 else None, "fire", "onshore", None, "new", 90, [], seq)
+            for i, s in enumerate(["low", "high", "critical"]) for kind, seq in kinds for _ in range(2)]
+    rows = spark.createDataFrame(rows, "run_id string, incident_id long, kind string, fingerprint string, severity string, title string, summary string, country string, incident_type string, environment string, "
+                                       "is_well_integrity_related boolean, status string, confidence_score int, descriptions array<string>, seq int")
+    devices = spark.createDataFrame([(None if i % 10 == 0 else i % 33, f"t{i}", True) for i in range(40)], "user_id long, token string, active boolean")
+    prefs = spark.createDataFrame([(u, True, u % 2 == 0, False, "high" if u % 3 else "low", [], [], ["n"] if u % 3 == 2 else [], True, True) for u in range(25)],
+                                  "user_id long, enabled boolean, sound boolean, critical_only boolean, min_severity string, severities array<string>, incident_types array<string>, countries array<string>, well_integrity_alerts boolean, well_control_alerts boolean")
+    history = spark.createDataFrame([(None, 1, "f1new_incident"), (3, 2, "f2new_incident"), *[(u, 0, "f0new_incident") for u in [None, *range(40)]]], "user_id long, incident_id long, fingerprint string")
+    return rows, devices, prefs, history
+
+
+def test_deliveries_are_found_where_their_pairs_are_made(spark, monkeypatch):
+    """Devices of equal preferences are compared at once; repeated deliveries need no shuffle of the pairs; same rows as by plain loops."""
+    import re
+
+    rows, devices, prefs, history = _alert_case(spark)
+    by_user = {p["user_id"]: p for p in prefs.collect()}
+    told = {tuple(h) for h in history.collect()}
+    ranks = ["low", "moderate", "high", "critical"]
+
+    def wants(d, r):
+        p = by_user.get(d["user_id"])
+        if (d["user_id"], r["incident_id"], r["fingerprint"]) in told:
+            return False
+        least, countries = (p["min_severity"], p["countries"]) if p else ("moderate", [])
+        return ranks.index(r["severity"]) >= ranks.index(least) and (not countries or (r["country"] or "").lower() in countries)
+
+    alerted, people = rows.collect(), devices.collect()
+    first = {}
+    for r in sorted(alerted, key=lambda r: r["seq"]):
+        if any(wants(d, r) for d in people):
+            first.setdefault((r["run_id"], r["incident_id"]), r["seq"])
+    want = Counter((r["incident_id"], r["kind"], d["token"], d["user_id"]) for r in alerted for d in people if first.get((r["run_id"], r["incident_id"])) == r["seq"] and wants(d, r))
+    assert {k for _, k, _, _ in want} == {"new_incident", "material_update"}
+    for per_row, seen in ((1_024, 64), (2, 64), (1_024, 0)):
+        monkeypatch.setattr(alerts, "DEVICES_PER_ROW", per_row)
+        monkeypatch.setattr(alerts, "SEEN_USERS", seen)
+        messages = alerts.fan_out(rows, devices, prefs, history, ["seq"])
+        assert Counter((m["incident_id"], m["kind"], m["token"], m["user_id"]) for m in messages.collect()) == want
+        added = alerts.deliveries_to_history(messages, history).groupBy("user_id").agg(F.count(F.lit(1)).alias("added"))
+        assert {r["user_id"]: r["added"] for r in added.collect()} == Counter(u for u, _, _ in {(u, i, k) for i, k, _, u in want})
+        if seen:
+            dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", added._jdf.queryExecution().executedPlan().toString())
+            assert not any("user_id" in keys and "incident_id" in keys for keys in dealt)
+
+
+def test_audience_is_broadcast_by_its_size_in_memory(spark, monkeypatch):
+    """Devices that take few bytes in a file, as their tokens are alike, are not sent to all tasks through the driver when they are many."""
+    rows, _, prefs, _ = _alert_case(spark)
+    people = alerts.audience(spark.range(20_000).selectExpr("CAST(NULL AS bigint) AS user_id", "'token' AS token", "true AS active"), prefs)
+    monkeypatch.setattr(alerts, "BROADCAST_LIMIT", 20_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = alerts.match_audience(rows, people)
+        assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == 8 * 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
